@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_classes
+from .packing import pack_documents
+from .quality_rules import judge
 from .substring_dedup import dedup_digest
+from .tokens import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +20,27 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
