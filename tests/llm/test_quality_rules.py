@@ -40,8 +40,8 @@ def test_counts_match(spark):
 def test_verdicts_against_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    rows = judge(docs, labels).join(labels, "doc_id").select("quality", "kept", "base_failed").collect()
-    clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
+    rows = judge(docs, labels).join(labels, "doc_id").select("quality", "toxic", "kept", "base_failed").collect()
+    clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0 and not r.base_failed]
     junk = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.995 * len(clean) and sum(junk) <= 0.06 * len(junk)
 

@@ -3,9 +3,10 @@
 Two multinomials over hashed n-grams of bytes: one of trusted documents, one of
 the whole corpus.  A document's score is the sum over its n-grams of
 ``log p_trusted - log p_corpus``, divided by their number plus a constant that
-draws very short texts to zero.  It is kept when the score reaches a threshold
-that is a fixed low quantile of the trusted documents' own scores, less a
-margin.  Everything is deterministic.
+draws very short texts to zero.  It is kept when the score reaches a threshold:
+a fixed low quantile of the scores of trusted documents that the model has not
+seen, less a margin.  Half of the trusted documents, by hash of their id, fit
+the model, the other half sets the threshold.  Everything is deterministic.
 
 Corpus counts cover every byte of every document; tasks send one row for each
 bucket they met.  The trusted model is fitted on at most ``TRUSTED`` labelled
@@ -160,7 +161,8 @@ class QualityModel:
         if labels is not None:
             good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
             ids = np.sort(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).toArrow().column(0).to_numpy())
-        sample = spark.sparkContext.broadcast(ids)
+        half = (W.mix(ids.view(np.uint64)) & np.uint64(1)).astype(bool)
+        sample, held_out = spark.sparkContext.broadcast(ids[half]), spark.sparkContext.broadcast(ids[~half])
         counts = plain.mapInArrow(_count(sample), "bucket int, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
         corpus, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         corpus[counts.column("bucket").to_numpy()] = counts.column("corpus").to_numpy()
@@ -173,10 +175,11 @@ class QualityModel:
 
             def own(batches):
                 for b in _sub_batches(batches):
-                    ok = _among(b.column(0), sample.value)
+                    ok = _among(b.column(0), held_out.value)
                     yield pa.RecordBatch.from_arrays([pa.array(scores(b.column(1).filter(pa.array(ok)), weights.value))], names=["score"])
 
-            self.threshold = plain.mapInArrow(own, "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0] - MARGIN
+            low = plain.mapInArrow(own, "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+            self.threshold = -np.inf if low is None else low - MARGIN
 
     def judged(self, docs: DataFrame) -> DataFrame:
         """doc_id, the counts, score, base_failed and kept of every row."""
