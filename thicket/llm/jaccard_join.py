@@ -16,14 +16,15 @@ with that union, and open only groups whose bound reaches what a link needs.
    about ``GROUP`` members.  Matrix rows (token, group) carry the range of set
    sizes; a (document, group) pair is a candidate when sizes and positions
    allow a link.
-4. Candidates open: members' sets come first, then the queries' sets stream by;
-   the overlap with the group's union is bounded before any member is compared.
-   Comparison is exact, over whole sets.
+4. The bound: per group, bit rows of its members and of their union (tokens fold
+   into columns) limit the overlap with each query; most candidates end here,
+   for a few bytes each.  Groups that are left open: members' whole sets come
+   first, then the queries' sets stream by; comparison is exact.
 5. A token of more than ``HOT`` documents is not paired out: its documents form
    chains in random parts first, which joins groups of near copies in time
    proportional to their size.  What is then still in several components under
-   such a token is opened like in 3 and 4, components being the groups; within
-   a component no comparison can change the result.
+   such a token is opened like in 3 and 4, with parts of components as groups;
+   within a component no comparison can change the result.
 
 Defined results: null or empty text (no words): n_shingles 0, linked with
 nothing, component_id is the row's own doc_id.  Rows with a null doc_id keep
@@ -133,94 +134,180 @@ def _ordered_prefix(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray,
     return tokens[:keep]
 
 
+def _short(key: bytes) -> int:
+    """The first 8 bytes of a fingerprint as a signed number: names a document until sets are compared.
+
+    Two sets that share it are proposed together and told apart by fingerprint.
+    """
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def _postings(frequent, place, counts, percent):
     def run(batches):
         seen: set[bytes] = set()
         for b in _sub_batches(batches):
-            token, fp, meta, salt = [], [], [], []
+            token, fid, meta = [], [], []
             for tokens in shingle_sets(b.column(0)):
                 if not len(tokens) or (key := fingerprint(tokens)) in seen:
                     continue
                 seen.add(key)
                 first = _ordered_prefix(tokens, frequent.value, place.value, percent)
                 token.append(first)
-                fp.append((key, len(first)))
+                fid.append(np.full(len(first), _short(key)))
                 meta.append((np.int64(len(tokens)) << np.int64(32)) + np.arange(len(first)))
             if not token:
                 continue
-            token = np.concatenate(token)
-            keys = np.repeat(np.frombuffer(b"".join(k for k, _ in fp), "V16"), [k for _, k in fp])
+            token, fid = np.concatenate(token), np.concatenate(fid)
             salt = np.zeros(len(token), np.int32)
             if len(frequent.value):
                 at = np.searchsorted(frequent.value, token)
                 at[at == len(frequent.value)] = 0
                 parts = np.where(frequent.value[at] == token, counts.value[at] // HOT + 1, 1)
-                mixed = W.mix(keys.view(np.uint64).reshape(-1, 2)[:, 0] ^ W.mix(token))
+                mixed = W.mix(fid.view(np.uint64) ^ W.mix(token))
                 salt = np.where(parts > 1, 1 + (mixed % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), _fixed(keys), pa.array(np.concatenate(meta))], names=["token", "salt", "fp", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(fid), pa.array(np.concatenate(meta))], names=["token", "salt", "fid", "meta"])
 
     return run
 
 
-def _fixed(keys: np.ndarray) -> pa.Array:
-    """16-byte keys as an Arrow binary array."""
-    n = len(keys)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(keys.tobytes())])
-
-
-def _keys(column: pa.Array) -> np.ndarray:
-    raw, _ = W.buffers(column)
-    return raw.view("V16")
-
-
 def _chain(batches):
     """Of one task's tokens: rows of tokens with several documents, each with the next document of its part."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    token, salt, meta = (t.column(c).to_numpy() for c in ("token", "salt", "meta"))
-    keys = _keys(t.column("fp"))
-    pair = np.ascontiguousarray(keys).view(">u8").reshape(-1, 2).astype(np.uint64)
-    order = np.lexsort((pair[:, 1], pair[:, 0], meta >> 32, salt, token))
-    token, salt, meta, keys, pair = token[order], salt[order], meta[order], keys[order], pair[order]
+    token, salt, fid, meta = (t.column(c).to_numpy() for c in ("token", "salt", "fid", "meta"))
+    order = np.lexsort((fid, meta >> 32, salt, token))
+    token, salt, fid, meta = token[order], salt[order], fid[order], meta[order]
     same = np.zeros(len(token), bool)
     same[1:] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
     again = np.zeros(len(token), bool)  # the same set, seen by several tasks
-    again[1:] = same[1:] & (pair[1:] == pair[:-1]).all(1)
-    token, salt, meta, keys = token[~again], salt[~again], meta[~again], keys[~again]
+    again[1:] = same[1:] & (fid[1:] == fid[:-1])
+    token, salt, fid, meta = token[~again], salt[~again], fid[~again], meta[~again]
     same = np.zeros(len(token) + 1, bool)
     same[1:-1] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-    keep = same[:-1] | same[1:]
-    follows = same[1:]
-    group = np.cumsum(~same[:-1]) - 1
-    size = np.bincount(group)[group] if len(group) else group
-    keep |= salt > 0
-    idx = np.flatnonzero(keep)
-    for a in range(0, len(idx), 200_000):
-        i = idx[a : a + 200_000]
-        nxt = [k if f else None for k, f in zip(keys[np.minimum(i + 1, len(keys) - 1)].tolist(), follows[i], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(salt[i]), _fixed(keys[i]), pa.array(meta[i]), pa.array(nxt, pa.binary()), pa.array(size[i].astype(np.int64))], names=["token", "salt", "fp", "meta", "next", "size"])
+    size = np.bincount(np.cumsum(~same[:-1]) - 1)[np.cumsum(~same[:-1]) - 1]
+    hot = (size > HOT) | (salt > 0)
+    idx = np.flatnonzero(same[:-1] | same[1:] | hot)
+    for a in range(0, len(idx), 500_000):
+        i = idx[a : a + 500_000]
+        follows = same[1:][i] & hot[i]
+        yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(hot[i]), pa.array(fid[i]), pa.array(meta[i]), pa.array(fid[np.minimum(i + 1, len(fid) - 1)], mask=~follows)], names=["token", "hot", "fid", "meta", "next"])
+
+
+def _wanted_sets(b, seen, wanted):
+    for tokens in shingle_sets(b.column(0)):
+        if len(tokens) and (key := fingerprint(tokens)) not in seen and passes(wanted.value, np.array([_short(key)], np.int64).view(np.uint64))[0]:
+            seen.add(key)
+            yield key, tokens
 
 
 def _sets(wanted):
-    """Rows (fp, tokens) of the distinct sets of a task that may be wanted."""
+    """Rows (fid, fp, tokens) of the distinct sets of a task that may be wanted."""
 
     def run(batches):
         seen: set[bytes] = set()
         for b in _sub_batches(batches):
-            fp, sets = [], []
-            for tokens in shingle_sets(b.column(0)):
-                if len(tokens) and (key := fingerprint(tokens)) not in seen and passes(wanted.value, np.frombuffer(key[:8], ">u8").astype(np.uint64))[0]:
-                    seen.add(key)
-                    fp.append(key)
-                    sets.append(tokens.tobytes())
-            if fp:
-                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "tokens"])
+            got = list(_wanted_sets(b, seen, wanted))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k, _ in got], pa.int64()), pa.array([k for k, _ in got], pa.binary()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["fid", "fp", "tokens"])
 
     return run
 
 
+def _row(tokens: np.ndarray) -> bytes:
+    """A row of the token-group matrix for one set: tokens fold into twice as many columns, or a little more."""
+    columns = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(columns, bool)
+    bits[(tokens & np.uint64(columns - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _rows(wanted):
+    """Rows (fid, n, bits) of the distinct sets of a task that may be wanted."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for b in _sub_batches(batches):
+            got = list(_wanted_sets(b, seen, wanted))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k, _ in got], pa.int64()), pa.array([len(t) for _, t in got], pa.int64()), pa.array([_row(t) for _, t in got], pa.binary())], names=["fid", "n", "bits"])
+
+    return run
+
+
+def _fold(bits: np.ndarray, columns: int) -> np.ndarray:
+    """Matrix rows (one per line) folded to fewer columns; a token keeps its bit."""
+    while bits.shape[-1] > columns:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def _bound(percent: int):
+    """Members of a group, then its queries: those (gid, fid, is_member) that the matrix cannot rule out.
+
+    A query has at least as many tokens outside a union as it has bits outside
+    the union's row.
+    """
+
+    def run(batches):
+        now, members, classes, live = None, [], None, set()
+
+        def flush(out):
+            out += [(now[0], fid, True) for fid in live] if now else []
+            live.clear()
+
+        for b in batches:
+            out = []
+            gids, parts, roles, fids, ns = (b.column(i).to_numpy() for i in range(5))
+            for i in range(b.num_rows):
+                row = np.frombuffer(b.column(5)[i].as_py(), np.uint8)
+                if (gids[i], parts[i]) != now:
+                    flush(out)
+                    now, members, classes = (gids[i], parts[i]), [], None
+                if roles[i] == 0:
+                    members.append((len(row), ns[i], fids[i], row))
+                    continue
+                if classes is None:
+                    classes = {}
+                    for width in {m[0] for m in members}:
+                        own = [m for m in members if m[0] == width]
+                        rows = np.stack([m[3] for m in own])
+                        classes[width] = (np.array([m[1] for m in own]), np.array([m[2] for m in own]), rows, np.bitwise_or.reduce(rows, axis=0))
+                n, before = int(ns[i]), len(out)
+                for width, (sizes, keys, rows, union) in classes.items():
+                    fits = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (keys != fids[i])
+                    if not fits.any():
+                        continue
+                    common = min(width, len(row))
+                    mine = _fold(row, common)
+                    if n - int(_ONES[mine & ~_fold(union, common)].sum()) < -(-percent * n // 100):
+                        continue
+                    over = n - _ONES[mine & ~_fold(rows[fits], common)].sum(axis=1, dtype=np.int64)
+                    hit = keys[fits][over >= need(n, sizes[fits], percent)]
+                    if len(hit):
+                        live.update(hit.tolist())
+                        if len(out) == before:
+                            out.append((gids[i], fids[i], False))
+            if out:
+                yield _triples(out)
+        out = []
+        flush(out)
+        if out:
+            yield _triples(out)
+
+    return run
+
+
+def _triples(rows):
+    gid, fid, member = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(fid, pa.int64()), pa.array(member)], names=["gid", "fid", "is_member"])
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -230,31 +317,41 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _open(percent: int):
-    """Members of a group, then its queries, in order of (group, part, role): links (u, v)."""
+    """Members of a group, then its queries, in order of (group, part, role): links (u, v).
+
+    Documents that links of this group already connect are not compared again, so
+    a group gives fewer links than it has documents.
+    """
 
     def run(batches):
-        now, members, union = None, [], None
+        now, members, union, parent = None, {}, None, {}
+
+        def top(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
         for b in batches:
             u, v = [], []
-            col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            part, role = col["part"].to_numpy(), col["role"].to_numpy()
-            for i, gid in enumerate(col["gid"].to_numpy()):
-                tokens = np.frombuffer(col["tokens"][i].as_py(), np.uint64)
-                key = col["fp"][i].as_py()
-                if (gid, part[i]) != now:
-                    now, members, union = (gid, part[i]), [], None
-                if role[i] == 0:
-                    members.append((key, tokens))
+            gids, parts, roles = (b.column(i).to_numpy() for i in range(3))
+            for i in range(b.num_rows):
+                key, tokens = b.column(3)[i].as_py(), np.frombuffer(b.column(4)[i].as_py(), np.uint64)
+                if (gids[i], parts[i]) != now:
+                    now, members, union = (gids[i], parts[i]), {}, None
+                    parent.clear()
+                if roles[i] == 0:
+                    members[key] = tokens
                     continue
                 if not members:
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([t for _, t in members]))
+                    union = np.unique(np.concatenate(list(members.values())))
                 n = len(tokens)
                 if _common(tokens, union) < -(-percent * n // 100):
                     continue
-                for other, t in members:
-                    if other != key and 100 * min(n, len(t)) >= percent * max(n, len(t)) and _common(tokens, t) >= need(n, len(t), percent):
+                for other, t in members.items():
+                    if 100 * min(n, len(t)) >= percent * max(n, len(t)) and top(other) != top(key) and _common(tokens, t) >= need(n, len(t), percent):
+                        parent[top(key)] = top(other)
                         u.append(key)
                         v.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
@@ -262,22 +359,33 @@ def _open(percent: int):
     return run
 
 
-def _first_long(fp: str):
-    """The number that ``_sets`` looks up: the first 8 bytes of a fingerprint."""
-    return F.conv(F.hex(F.expr(f"substr({fp}, 1, 8)")), 16, -10).cast("bigint")
+def _dealt(members: DataFrame, queries: DataFrame, data: DataFrame, columns: list[str], width: int = 256) -> DataFrame:
+    """Members and queries of each group side by side; a group with many queries is repeated in several parts."""
+    parts = queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("parts"))
+    q = queries.join(parts, "gid").select("gid", F.pmod(F.xxhash64("fid"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "fid")
+    m = members.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "fid")
+    rows = m.union(q).join(data, "fid").select("gid", "part", "role", *columns)
+    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "role")
 
 
-def links(docs: DataFrame, members: DataFrame, queries: DataFrame, percent: int, width_parts: int = 256) -> DataFrame:
-    """Opens groups.  members: (gid, fp); queries: (gid, fp), both distinct -> links (u, v)."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, members: DataFrame, queries: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
+    """Bounds, then opens groups.  members: (gid, fid); queries: (gid, fid), both distinct -> links (u, v)."""
+    texts = pick(docs, "text")
+    key = lambda t: t.select(F.col("fid").alias("k"))
     used = members.join(queries.select("gid").distinct(), "gid", "left_semi")
-    wanted = runtime_filter(used.select("fp").union(queries.select("fp")).select(_first_long("fp").alias("k")))
-    sets = pick(docs, "text").mapInArrow(_sets(wanted), "fp binary, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    parts = queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / width_parts).cast("int").alias("parts"))
-    q = queries.join(parts, "gid").select("gid", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "fp")
-    m = used.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "fp")
-    rows = m.union(q).join(sets, "fp").select("gid", "part", "role", "fp", "tokens")
-    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "role").mapInArrow(_open(percent), "u binary, v binary").distinct()
+    rows = texts.mapInArrow(_rows(runtime_filter(key(used).union(key(queries)))), "fid long, n long, bits binary").dropDuplicates(["fid", "n", "bits"])
+    left = ws.save(_dealt(used, queries, rows, ["fid", "n", "bits"]).mapInArrow(_bound(percent), "gid long, fid long, is_member boolean"), f"{name}_bound")
+    ws.release()
+    members, queries = (left.where(w).select("gid", "fid").distinct() for w in ("is_member", "not is_member"))
+    sets = texts.mapInArrow(_sets(runtime_filter(key(members).union(key(queries)))), "fid long, fp binary, tokens binary").groupBy("fid", "fp").agg(F.first("tokens").alias("tokens"))
+    edges = ws.save(_dealt(members, queries, sets, ["fp", "tokens"]).mapInArrow(_open(percent), "u binary, v binary").distinct(), name)
+    ws.drop(f"{name}_bound")
+    return edges
+
+
+def short(fp: str):
+    """``_short`` of a fingerprint column."""
+    return F.conv(F.hex(F.expr(f"substr({fp}, 1, 8)")), 16, -10).cast("bigint")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
@@ -293,60 +401,82 @@ def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY, frequent: int =
     late, place, counts = (spark.sparkContext.broadcast(x) for x in (token[order], np.argsort(np.argsort(-top.column("times").to_numpy()[order], kind="stable")), top.column("times").to_numpy()[order]))
     ws.release()
 
-    dealt = pick(docs, "text").mapInArrow(_postings(late, place, counts, percent), "token long, salt int, fp binary, meta long").repartition("token", "salt")
-    posts = ws.save(dealt.mapInArrow(_chain, "token long, salt int, fp binary, meta long, next binary, size long"), "postings")
+    dealt = pick(docs, "text").mapInArrow(_postings(late, place, counts, percent), "token long, salt int, fid long, meta long").repartition("token", "salt")
+    posts = ws.save(dealt.mapInArrow(_chain, "token long, hot boolean, fid long, meta long, next long"), "postings")
     ws.release()
 
     # Groups: the smallest shared token, in parts of about GROUP.
-    of = posts.groupBy("fp").agg(F.min("token").alias("key"))
+    of = posts.groupBy("fid").agg(F.min("token").alias("key"))
     parts = of.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    group = ws.save(of.join(parts, "key").select("fp", F.xxhash64("key", F.pmod(F.xxhash64("fp"), "parts")).alias("gid")), "groups")
-    hot = (F.col("size") > HOT) | (F.col("salt") > 0)
-    hot_tokens = posts.where(hot).select("token").distinct()
-    cold = posts.join(hot_tokens, "token", "left_anti").select("token", "fp", F.shiftright("meta", 32).alias("n"), F.col("meta").bitwiseAND(F.lit(2**31 - 1)).alias("pos")).join(group, "fp")
-    matrix = cold.groupBy("token", "gid").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
-    allowed = _allowed(percent)
-    asked = cold.join(matrix.withColumnRenamed("gid", "g"), "token").where((F.col("gid") <= F.col("g")) & allowed).select(F.col("g").alias("gid"), "fp")
-    chain = posts.where(hot & F.col("next").isNotNull()).select("fp", "next").join(group.withColumnRenamed("fp", "next"), "next").select("gid", "fp")
+    group = ws.save(of.join(parts, "key").select("fid", F.xxhash64("key", F.pmod(F.xxhash64("fid"), "parts")).alias("gid")), "groups")
+    cold = posts.where(~F.col("hot")).select("token", "fid", "meta").join(group, "fid")
+    matrix = _matrix(cold, "token", "gid").withColumnRenamed("gid", "g")
+    asked = cold.join(matrix, "token").where((F.col("gid") <= F.col("g")) & _allowed(percent)).select(F.col("g").alias("gid"), "fid")
+    chain = posts.where("hot and next is not null").select("fid", "next").join(group.withColumnRenamed("fid", "next"), "next").select("gid", "fid")
     asked = ws.save(asked.union(chain).distinct(), "asked")
-    edges = ws.save(links(docs, group, asked, percent), "edges")
     ws.release()
+    edges = links(docs, group, asked, percent, ws, "edges")
     found = components(edges, ws, "cc")
 
-    if not hot_tokens.isEmpty():
-        edges = _rest(docs, posts.where(hot).select("token").distinct(), posts, found, edges, percent, ws)
+    if not posts.where("hot").isEmpty():
+        edges = _rest(docs, posts.where("hot"), found, percent, ws)
         found = components(edges, ws, "cd")
     root = profile.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
     least = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    ws.drop("postings", "groups", "asked")
     return root.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _allowed(percent: int):
-    """Sizes and positions of a query (n, pos) and a matrix row allow a link at their first common token."""
-    n, lo, hi = F.col("n"), F.col("n_min"), F.col("n_max")
-    least = F.greatest(lo, F.ceil(n * percent / 100))  # the smallest member that may link asks least
-    return (100 * F.least(n, hi) >= percent * F.greatest(n, lo)) & (F.least(n - F.col("pos"), hi - F.col("pos_min")) >= F.ceil(percent * (n + least) / (100 + percent)))
+def _size():
+    return F.shiftright("meta", 32)
 
 
-def _rest(docs, hot_tokens, posts, found, edges, percent, ws):
-    """Links under hot tokens between documents that are not yet in one component."""
-    rows = posts.join(hot_tokens, "token", "left_semi").select("token", "fp", F.shiftright("meta", 32).alias("n"), F.col("meta").bitwiseAND(F.lit(2**31 - 1)).alias("pos"))
-    rows = ws.save(rows.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root")), "hot")
-    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
-    split = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    sizes = ws.save(sizes.join(split, "token", "left_semi"), "hot_sizes")
-    a, b = sizes.alias("a"), sizes.alias("b")
+def _place():
+    return F.col("meta").bitwiseAND(F.lit(2**31 - 1))
+
+
+def _matrix(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of the token-group matrix, with the range of sizes and the first place of the token."""
+    return rows.groupBy(*by).agg(F.min(_size()).alias("n_min"), F.max(_size()).alias("n_max"), F.min(_place()).alias("pos_min"))
+
+
+def _allowed(percent: int):
+    """Sizes and positions of a query and a matrix row allow a link at their first common token."""
+    n, lo, hi = _size(), F.col("n_min"), F.col("n_max")
+    least = F.greatest(lo, F.ceil(n * percent / 100))  # the smallest member that may link asks least
+    return (100 * F.least(n, hi) >= percent * F.greatest(n, lo)) & (F.least(n - _place(), hi - F.col("pos_min")) >= F.ceil(percent * (n + least) / (100 + percent)))
+
+
+def _rest(docs, posts, found, percent, ws):
+    """Links under hot tokens between documents that are not yet in one component, and those found before.
+
+    A row's *reach* is the largest partner its place allows at a first common
+    token.  In every linked pair the smaller document reaches its own size at
+    least (it is *strong*), so only strong rows look for partners: heavily edited
+    copies, whose first places hold tokens of their own, are not paired with each
+    other however many they are.
+    """
+    label = found.select(short("u").alias("fid"), short("root").alias("root"))
+    reach = F.expr(f"(({{n}} - {{pos}}) * {100 + percent}) div {percent} - {{n}}".format(n="shiftright(meta, 32)", pos=f"(meta & {2**31 - 1}L)"))
+    rows = posts.select("token", "fid", _size().alias("n"), reach.alias("reach")).join(label, "fid", "left")
+    rows = ws.save(rows.select("token", "fid", "n", "reach", F.coalesce("root", "fid").alias("root")), "hot")
+    kinds = rows.groupBy("token", "root", "n").agg(F.max("reach").alias("reach"), F.count(F.lit(1)).alias("k"))
+    times = kinds.groupBy("token", "root").agg(F.sum("k").alias("times"))
+    split = times.groupBy("token").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token")
+    kinds = ws.save(kinds.join(times, ["token", "root"]).join(split, "token", "left_semi"), "hot_kinds")
+    strong, other = kinds.where("reach >= n").alias("s"), kinds.alias("o")
+    pairs = strong.join(other, (F.col("s.token") == F.col("o.token")) & (F.col("s.root") != F.col("o.root")) & (F.col("s.n") <= F.col("o.n")) & (F.col("o.n") <= F.col("s.reach")) & (F.col("s.n") <= F.col("o.reach")))
     # The component with fewer documents under the token asks the other one's groups.
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.struct("a.times", "a.root") < F.struct("b.times", "b.root")) & (100 * F.least("a.n_max", "b.n_max") >= percent * F.greatest("a.n_min", "b.n_min"))
-    ).select(F.col("a.token").alias("token"), F.col("a.root").alias("root"), F.col("b.root").alias("other"))
-    parts = rows.select("fp", "root").distinct()
+    less = F.struct("s.times", "s.root") < F.struct("o.times", "o.root")
+    side = lambda c: (F.when(less, F.col(f"s.{c}")).otherwise(F.col(f"o.{c}")), F.when(less, F.col(f"o.{c}")).otherwise(F.col(f"s.{c}")))
+    (root, root2), (n, n2) = side("root"), side("n")
+    pairs = ws.save(pairs.select(F.col("s.token").alias("token"), root.alias("root"), n.alias("n"), root2.alias("other"), n2.alias("m")).distinct(), "hot_pairs")
+    parts = rows.select("fid", "root").distinct()
     count = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    group = ws.save(parts.join(count, "root").select("fp", "root", F.xxhash64("root", F.pmod(F.xxhash64("fp"), "parts")).alias("gid")), "hot_groups")
-    live = rows.join(sizes.select("token").distinct(), "token", "left_semi").join(group.select("fp", "gid"), "fp")
-    matrix = live.groupBy("token", "root", "gid").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
-    ask = live.select("token", "root", "fp", "n", "pos").join(pairs, ["token", "root"]).drop("root")
-    asked = ask.join(matrix.withColumnRenamed("root", "other"), ["token", "other"]).where(_allowed(percent)).select("gid", "fp").distinct()
-    asked = ws.save(asked, "hot_asked")
-    more = ws.save(links(docs, group.select("gid", "fp"), asked, percent), "hot_edges")
-    return edges.union(more).union(found.select("u", F.col("root").alias("v")))
+    group = ws.save(parts.join(count, "root").select("fid", F.xxhash64("root", F.pmod(F.xxhash64("fid"), "parts")).alias("gid")), "hot_groups")
+    matrix = rows.join(pairs.select("token", F.col("other").alias("root"), F.col("m").alias("n")).distinct(), ["token", "root", "n"], "left_semi").join(group, "fid").groupBy("token", F.col("root").alias("other"), F.col("n").alias("m"), "gid").agg(F.max("reach").alias("allows"))
+    ask = rows.join(pairs, ["token", "root", "n"]).where("m <= reach").select("token", "other", "m", "n", "fid")
+    asked = ask.join(matrix, ["token", "other", "m"]).where("n <= allows").select("gid", "fid").distinct()
+    more = links(docs, group, ws.save(asked, "hot_asked"), percent, ws, "hot_edges")
+    ws.drop("hot", "hot_kinds", "hot_pairs", "hot_groups", "hot_asked")
+    return more.union(found.select("u", F.col("root").alias("v")))
