@@ -64,7 +64,7 @@ def _anchors(short: np.ndarray, n_words: int, width: int, base: int) -> tuple[np
 
 
 def _unique_texts(batches):
-    """Per batch: word hashes of texts that the task has not met, with their keys; and how often it met any text again."""
+    """Per batch: (key, word hashes, first or second meeting) of the texts that the task meets."""
     seen: dict[bytes, int] = {}
     for b in _sub_batches(batches):
         texts = b.column(0)
@@ -77,7 +77,7 @@ def _unique_texts(batches):
             # The second meeting is handed out too: two is all that matters.
             seen[k] = seen.get(k, 0) + 1
             if seen[k] <= 2 and wo[i + 1] > wo[i]:
-                fresh.append((k, h[wo[i] : wo[i + 1]]))
+                fresh.append((k, h[wo[i] : wo[i + 1]], seen[k]))
         yield fresh
 
 
@@ -92,7 +92,7 @@ def _level(find, most: int = 4_000_000):
     def run(batches):
         held, size = [], 0
         for fresh in _unique_texts(batches):
-            for _, h in fresh:
+            for _, h, _ in fresh:
                 found = find(h)
                 if len(found):
                     held.append(found)
@@ -140,38 +140,117 @@ def _second(width, base, level1):
     return find
 
 
+def _surviving(h, width, base, level1, level2):
+    """Anchors that both levels leave: hash, first and last window; and the two hash sums of the text."""
+    short = W.shingles(h, base)
+    at, first, last = _anchors(short, len(h), width, base)
+    ok = passes(level1.value, short[at])
+    a, begin, b, end = _doubled(h, at, base)
+    ok &= (begin & passes(level2.value, a)) | (end & passes(level2.value, b))
+    sums = W.prefix_sums(h), W.prefix_sums(W.mix(h ^ np.uint64(_SECOND)))
+    return short[at[ok]], first[ok], last[ok], sums
+
+
+def _span_hashes(sums, first, last, width):
+    length = last - first + width
+    return [W.mix((total[first + length] - total[first]) * back[first] + length.astype(np.uint64)) for total, back in sums]
+
+
+def _pairs(a, b):
+    """One number for two hashes, to group the few of one text or batch."""
+    return W.mix(a) + b * np.uint64(_SECOND)
+
+
+def _runs(first, last):
+    """Ranges of windows merged where they touch."""
+    if not len(first):
+        return first, last
+    cut = np.flatnonzero(first[1:] > last[:-1] + 1)
+    return first[np.concatenate([[0], cut + 1])], last[np.concatenate([cut, [len(last) - 1]])]
+
+
+class _Columns:
+    """Collects rows by column, with nulls given as None arrays."""
+
+    def __init__(self, **kinds):
+        self.kinds, self.parts = kinds, []
+
+    def add(self, n, **values):
+        if n:
+            self.parts.append((n, values))
+
+    def __len__(self):
+        return sum(n for n, _ in self.parts)
+
+    def batch(self):
+        cols = []
+        for name, kind in self.kinds.items():
+            chunks = []
+            for n, v in self.parts:
+                x = v.get(name)
+                chunks.append(pa.nulls(n, kind) if x is None else pa.array([x] * n, kind) if isinstance(x, bytes) else pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x).cast(kind))
+            cols.append(pa.concat_arrays(chunks))
+        self.parts = []
+        return pa.RecordBatch.from_arrays(cols, names=list(self.kinds))
+
+
 def _third(width, base, level1, level2):
+    """Spans.  Rows with an anchor count occurrences; those with a text ask whether the span repeats; without an anchor it surely does."""
+
     def run(batches):
+        out = _Columns(anchor=pa.int64(), s1=pa.int64(), s2=pa.int64(), text=pa.binary(), first=pa.int32(), last=pa.int32(), c=pa.int32())
         for fresh in _unique_texts(batches):
-            out = {c: [] for c in ("anchor", "s1", "s2", "text", "first", "last", "w1", "w2")}
-            for key, h in fresh:
+            for key, h, meeting in fresh:
                 if len(h) < width:
                     continue
-                short = W.shingles(h, base)
-                at, first, last = _anchors(short, len(h), width, base)
-                ok = passes(level1.value, short[at])
-                a, begin, b, end = _doubled(h, at, base)
-                ok &= (begin & passes(level2.value, a)) | (end & passes(level2.value, b))
-                at, first, last = at[ok], first[ok], last[ok]
-                if not len(at):
+                anchor, first, last, sums = _surviving(h, width, base, level1, level2)
+                s1, s2 = _span_hashes(sums, first, last, width)
+                _, one, which, times = np.unique(_pairs(s1, s2), return_index=True, return_inverse=True, return_counts=True)
+                self_repeated = times > 1
+                if meeting == 2:
+                    out.add(1, text=key, first=np.zeros(1, np.int32), last=np.array([len(h) - width], np.int32))
+                    self_repeated[:] = True  # counted here, asked about by the first meeting
+                else:
+                    a, z = _runs(first[self_repeated[which]], last[self_repeated[which]])
+                    out.add(len(a), text=key, first=a, last=z)
+                    ask = ~self_repeated[which]
+                    out.add(int(ask.sum()), anchor=anchor[ask], s1=s1[ask], s2=s2[ask], text=key, first=first[ask], last=last[ask], c=np.ones(int(ask.sum()), np.int32))
+                i = one[self_repeated]
+                out.add(len(i), anchor=anchor[i], s1=s1[i], s2=s2[i], c=np.minimum(times[self_repeated], 2))
+            if len(out):
+                yield out.batch()
+
+    return run
+
+
+def _single(width, base, level1, level2, mixed, alone):
+    """Windows under mixed anchors: summed where the span repeats, one by one, with their text, where it does not."""
+
+    def run(batches):
+        out = _Columns(w1=pa.int64(), w2=pa.int64(), text=pa.binary(), first=pa.int32(), c=pa.int32())
+        for fresh in _unique_texts(batches):
+            held = []
+            for key, h, _ in fresh:
+                if len(h) < width:
                     continue
-                sums, other = W.prefix_sums(h), W.prefix_sums(W.mix(h ^ np.uint64(_SECOND)))
-                out["anchor"].append(short[at])
-                out["first"].append(first)
-                out["last"].append(last)
-                out["text"] += [key] * len(at)
-                length = last - first + width
-                for name, s in (("s1", sums), ("s2", other)):
-                    total, back = s
-                    out[name].append(W.mix((total[first + length] - total[first]) * back[first] + length.astype(np.uint64)))
-                n = len(h) - width + 1
-                w1, w2 = W.window(sums, np.arange(n), width), W.window(other, np.arange(n), width)
-                out["w1"] += [w1[i : j + 1].view(np.int64) for i, j in zip(first, last)]
-                out["w2"] += [w2[i : j + 1].view(np.int64) for i, j in zip(first, last)]
-            if out["text"]:
-                num = lambda c: pa.array(np.concatenate(out[c]).view(np.int64))
-                lists = lambda c: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[c]])]).astype(np.int32)), pa.array(np.concatenate(out[c])))
-                yield pa.RecordBatch.from_arrays([num("anchor"), num("s1"), num("s2"), pa.array(out["text"], pa.binary()), pa.array(np.concatenate(out["first"]).astype(np.int32)), pa.array(np.concatenate(out["last"]).astype(np.int32)), lists("w1"), lists("w2")], names=["anchor", "s1", "s2", "text", "first", "last", "w1", "w2"])
+                anchor, first, last, sums = _surviving(h, width, base, level1, level2)
+                ok = passes(mixed.value, anchor)
+                first, last = first[ok], last[ok]
+                if not len(first):
+                    continue
+                asks = passes(alone.value, _span_hashes(sums, first, last, width)[0])
+                n = last - first + 1
+                start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                asks = np.repeat(asks, n)
+                w1, w2 = (W.window(x, start, width) for x in sums)
+                out.add(int(asks.sum()), w1=w1[asks], w2=w2[asks], text=key, first=start[asks], c=np.ones(int(asks.sum()), np.int32))
+                held.append((w1[~asks], w2[~asks]))
+            if held:
+                w1, w2 = (np.concatenate(x) for x in zip(*held))
+                _, one, times = np.unique(_pairs(w1, w2), return_index=True, return_counts=True)
+                out.add(len(one), w1=w1[one], w2=w2[one], c=np.minimum(times, 2))
+            if len(out):
+                yield out.batch()
 
     return run
 
@@ -185,23 +264,22 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     level1 = runtime_filter(repeats(_first(width, base)))
     level2 = runtime_filter(repeats(_second(width, base, level1)))
     ws.release()
-    rows = ws.save(texts.mapInArrow(_third(width, base, level1, level2), "anchor long, s1 long, s2 long, text binary, first int, last int, w1 array<long>, w2 array<long>"), "anchors")
-
-    count = rows.groupBy("s1", "s2", "anchor").agg(F.count(F.lit(1)).alias("times"))
-    count = ws.save(count, "spans")
+    rows = ws.save(texts.mapInArrow(_third(width, base, level1, level2), "anchor long, s1 long, s2 long, text binary, first int, last int, c int"), "anchors")
+    count = ws.save(rows.where("anchor is not null").groupBy("s1", "s2", "anchor").agg(F.sum("c").alias("times")), "spans")
+    sure = rows.where("anchor is null").select("text", "first", "last")
+    whole = rows.where("anchor is not null and text is not null").join(count.where("times > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("text", "first", "last")
     # Anchors under which some span is not repeated while the anchor is: their windows are counted singly.
-    mixed = ws.save(count.groupBy("anchor").agg(F.min("times").alias("least"), F.sum("times").alias("all")).where("least = 1 and all > 1").select("anchor"), "mixed")
-    whole = rows.join(count.where("times > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("text", "first", F.col("last").alias("last"))
-    single = rows.join(mixed, "anchor", "left_semi").select("s1", "s2", "text", "first", F.arrays_zip("w1", "w2").alias("w"))
-    times = single.groupBy("s1", "s2").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("times"), F.first("w").alias("w"))
-    seen = times.select("times", F.explode("w").alias("w")).groupBy("w.w1", "w.w2").agg(F.sum("times").alias("times")).where("times > 1").select("w1", "w2")
-    # Spans that repeat are whole already; the windows of the others look themselves up.
-    alone = single.join(count.where("times = 1").select("s1", "s2"), ["s1", "s2"], "left_semi")
-    each = alone.select("text", "first", F.posexplode("w").alias("i", "w")).select("text", (F.col("first") + F.col("i")).alias("first"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
-    part = each.join(seen, ["w1", "w2"], "left_semi").select("text", "first", F.col("first").alias("last"))
-    spans = whole.union(part).groupBy("text").agg(F.collect_set(F.struct(F.col("first"), (F.col("last") + width).alias("end"))).alias("spans"))
+    mixed = count.groupBy("anchor").agg(F.min("times").alias("least"), F.sum("times").alias("all")).where("least = 1 and all > 1").select("anchor")
+    alone = count.where("times = 1").join(mixed, "anchor", "left_semi").select("anchor", "s1")
+    alone = ws.save(alone, "alone")
+    single = texts.mapInArrow(_single(width, base, level1, level2, runtime_filter(alone.select(F.col("anchor").alias("k"))), runtime_filter(alone.select(F.col("s1").alias("k")))), "w1 long, w2 long, text binary, first int, c int")
+    single = ws.save(single, "single")
+    ws.release()
+    seen = single.groupBy("w1", "w2").agg(F.sum("c").alias("times")).where("times > 1").select("w1", "w2")
+    part = single.where("text is not null").join(seen, ["w1", "w2"], "left_semi").select("text", "first", F.col("first").alias("last"))
+    spans = sure.union(whole).union(part).groupBy("text").agg(F.collect_set(F.struct(F.col("first"), (F.col("last") + width).alias("end"))).alias("spans"))
     out = ws.save(spans.select(F.col("text").alias("key"), "spans"), "found")
-    ws.drop("anchors", "spans", "mixed")
+    ws.drop("anchors", "spans", "alone", "single")
     return out
 
 
