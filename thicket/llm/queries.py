@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_classes
+from .mixing import mix
 from .packing import pack_documents
 from .quality_rules import judge
 from .substring_dedup import dedup_digest
 from .tokens import token_counts
+from .url_filter import filter_urls, weak_label
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", weak_label(F.col("html")).alias("bad")))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "mix_order")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +53,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_warc": op2_warc,
+    "op3_url_filter": op3_url_filter,
+    "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
