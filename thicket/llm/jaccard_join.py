@@ -39,8 +39,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
@@ -390,6 +391,44 @@ def short(fp: str):
 
 def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, n_shingles, component_id)``, one row per input row; see the module's text."""
+    root = _rooted(docs, percent, frequent)
+    least = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return root.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _tagged(at: int, names: list[str]):
+    """All columns of each row and the fingerprint of its shingle set (null for no words)."""
+
+    def run(batches):
+        for b in _sub_batches(batches):
+            fp = [fingerprint(t) if len(t) else None for t in shingle_sets(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "__fp"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, percent: int = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row with the smallest doc_id stays.
+
+    Rows without words are in no class and stay.  Of rows that repeat the
+    smallest doc_id one stays.  All columns are kept.
+    """
+    root = _rooted(docs, percent, frequent)
+    # Null ids come last; of one id with several linked texts the first fingerprint stays.
+    first = root.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
+    chosen = first.select(F.col("r.fp").alias("__chosen_fp"), F.col("r.doc_id").alias("__chosen_id"))
+    text = docs.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*text.schema.fields, T.StructField("__fp", T.BinaryType())])
+    rows = text.mapInArrow(_tagged(docs.columns.index("text"), docs.columns), schema)
+    kept = rows.where("__fp is not null").join(chosen, (F.col("__fp") == F.col("__chosen_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen_id")))
+    place = F.row_number().over(Window.partitionBy("__chosen_fp", "__chosen_id").orderBy(F.lit(0)))
+    one = kept.withColumn("__place", place).where("__place = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*columns).union(rows.where("__fp is null").select(*columns))
+
+
+def _rooted(docs: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """(doc_id, n, fp, root) of every row; root names its class, null for rows without words."""
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -421,10 +460,8 @@ def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY, frequent: int =
     if not posts.where("hot").isEmpty():
         edges = _rest(docs, posts.where("hot"), found, percent, ws)
         found = components(edges, ws, "cd")
-    root = profile.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
-    least = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     ws.drop("postings", "groups", "asked")
-    return root.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return profile.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def _size():

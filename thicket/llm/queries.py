@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25_search import search
+from .chat_quotes import link_quotes
 from .jaccard_join import jaccard_classes
 from .mixing import mix
 from .packing import pack_documents
@@ -35,6 +37,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "mix_order")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th document is a query against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
@@ -51,15 +59,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_search": op5_search,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 
 SQL: dict[str, str] = {}
