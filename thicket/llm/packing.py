@@ -50,8 +50,9 @@ class Packer:
     def __init__(self, tokens: int = LIMIT, segments: int = SEGMENTS, loss: int | None = None, buffer: int = BUFFER):
         self.limits = np.array([tokens, segments, loss or tokens], float)
         self.tokens, self.segments, self.loss, self.buffer = tokens, segments, loss or tokens, buffer
-        self.size = np.zeros(0, np.int64)
-        self.need = np.zeros(0, np.int64)
+        # Tokens and loss tokens of the waiting items, in the first len(items) places.
+        self.size = np.zeros(2 * buffer + 64, np.int64)
+        self.need = np.zeros(2 * buffer + 64, np.int64)
         self.items: list[tuple[object, int, np.ndarray | None]] = []
         self.sequence = 0
 
@@ -82,9 +83,11 @@ class Packer:
 
     def _wait(self, item, n):
         payload, at, mask = item
+        k = len(self.items)
+        if k == len(self.size):  # one long example may wait in many pieces
+            self.size, self.need = (np.concatenate([x, np.zeros(k, np.int64)]) for x in (self.size, self.need))
         self.items.append((payload, at, mask))
-        self.size = np.append(self.size, n)
-        self.need = np.append(self.need, n if mask is None else int(mask[at : at + n].sum()))
+        self.size[k], self.need[k] = n, n if mask is None else int(mask[at : at + n].sum())
 
     def _take(self, i):
         item, n = self.items[i], int(self.size[i])
@@ -92,18 +95,19 @@ class Packer:
         self.items[i] = self.items[last]
         self.size[i], self.need[i] = self.size[last], self.need[last]
         self.items.pop()
-        self.size, self.need = self.size[:last], self.need[:last]
         return item, n
 
     def _fill(self, ending):
         room, segments, loss, placed = self.tokens, self.segments, self.loss, []
         while room and segments and self.items:
-            fits = (self.size <= room) & (self.need <= loss)
-            if fits.any():
-                score = self.size * (room / self.tokens**2) + segments / self.segments**2 + self.need * (loss / self.loss**2)
-                item, n = self._take(int(np.argmax(np.where(fits, score, -1))))
+            size, need = self.size[: len(self.items)], self.need[: len(self.items)]
+            fits = (size <= room) & (need <= loss)
+            score = (size * (room / self.tokens**2) + segments / self.segments**2 + need * (loss / self.loss**2)) * fits
+            i = int(np.argmax(score))
+            if fits[i]:
+                item, n = self._take(i)
             else:
-                i = int(np.argmin(self.size))
+                i = int(np.argmin(size))
                 payload, at, mask = self.items[i]
                 to = self._reach(mask, at, at + min(room, int(self.size[i])), loss)
                 if to == at:

@@ -25,7 +25,7 @@ from .jaccard_join import _sub_batches
 from .store import prepare
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries a worker keeps: some 150 MB at most.
+#: Entries of one generation of a worker's table: some 200 MB for both at most.
 TABLE = 500_000
 #: Bytes of text handled at a time.
 BATCH_BYTES = 1 << 23
@@ -58,23 +58,80 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-class Table(dict):
-    """piece -> value, filled by batches of unknown pieces and emptied when full."""
+def _byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    def __init__(self, path: str, value):
-        super().__init__()
-        self.path, self.value = path, value
 
-    def learn(self, pieces) -> None:
-        if len(self) > TABLE:
-            self.clear()
-        new = [p for p in set(pieces) if p not in self]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
-                self[p] = self.value(e.ids)
+def ranked(path: str):
+    """The same vocabulary in a library that is faster on single words, or None where its merges are not in order of ids.
+
+    It is used for pieces without special strings only.
+    """
+    key = path + "#ranks"
+    if key not in _LOADED:
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, special = spec["model"], {t["content"] for t in spec["added_tokens"]}
+        of, vocabulary = _byte_characters(), {}
+        pre = spec["pre_tokenizer"] or {}
+        ok = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
+        if ok:
+            vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+            merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+            ok = merged == sorted(merged)
+        _LOADED[key] = (tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocabulary.items()}, special_tokens={}), special) if ok else None
+    return _LOADED[key]
 
 
+class Table:
+    """piece -> value in two generations: when the young one is full it becomes the old one, and what is still used moves over."""
+
+    def __init__(self, path: str, value):
+        self.path, self.value, self.young, self.old = path, value, {}, {}
+
+    def learn(self, pieces) -> dict:
+        """A table that holds all the pieces."""
+        if len(self.young) > TABLE:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for p in set(pieces).difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        fast, encode, value = ranked(self.path), tokenizer(self.path), self.value
+        if fast is None:
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
+                for p, e in zip(some, encode.encode_batch_fast(some, add_special_tokens=False)):
+                    young[p] = value(e.ids)
+            return young
+        fast, special = fast
+        one = fast.encode_ordinary
+        for p in new:
+            # A mark after a letter is a token of its own when the piece ends with it.
+            if p[-1] in MARKS and p[-2:-1].isalpha():
+                stem = young.get(p[:-1]) or old.get(p[:-1])
+                if stem is None:
+                    stem = young[p[:-1]] = value(one(p[:-1]))
+                young[p] = stem + value(one(p[-1]))
+            elif "<" in p and any(s in p for s in special):
+                young[p] = value(encode.encode(p, add_special_tokens=False).ids)
+            else:
+                young[p] = value(one(p))
+        return young
+
+
+MARKS = frozenset(".,;:!?")
+
 _TABLES: dict[tuple[str, str], Table] = {}
 
 
@@ -91,10 +148,10 @@ def pieces(text: str | None) -> list[str]:
 
 def _counts(path: str, over: int):
     def run(batches):
-        known = table(path, "count")
+        held = table(path, "count")
         for b in _sub_batches(batches, BATCH_BYTES):
             cut = [pieces(t) for t in b.column(1).to_pylist()]
-            known.learn(p for c in cut for p in c)
+            known = held.learn(p for c in cut for p in c)
             n = [sum(map(known.__getitem__, c)) for c in cut]
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > over for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -111,8 +168,7 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
 
 def document_ids(texts: list[str | None], path: str, end: int | None) -> list[bytes]:
     """The ids of each text as bytes, then ``end``."""
-    known = table(path, "ids")
     cut = [pieces(t) for t in texts]
-    known.learn(p for c in cut for p in c)
+    known = table(path, "ids").learn(p for c in cut for p in c)
     tail = b"" if end is None else array("I", [end]).tobytes()
     return [b"".join(map(known.__getitem__, c)) + tail for c in cut]
