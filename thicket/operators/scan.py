@@ -109,57 +109,90 @@ def _slow(values: np.ndarray, mode: Dispersion) -> np.ndarray:
     return out
 
 
-def _heads(values: np.ndarray, mode: Dispersion) -> np.ndarray:
-    """Dispersions of the first 1..n rows, per column: shape (n + 1, m), row 0 zero."""
-    n, m = values.shape
-    out = np.zeros((n + 1, m))
+def _remaining(outputs: np.ndarray, orders: np.ndarray, mode: Dispersion) -> np.ndarray:
+    """Dispersion of what remains before each draw: orders (f, n) of rows -> (f, n + 1, m), zero when all is drawn."""
+    f, n = orders.shape
+    m = outputs.shape[1]
+    out = np.zeros((f, n + 1, m))
     if mode in (Dispersion.VAR, Dispersion.SSE):
-        shifted = values - values.mean(axis=0)
-        k = np.arange(1, n + 1)[:, None]
-        s, q = np.cumsum(shifted, axis=0), np.cumsum(shifted * shifted, axis=0)
+        v = (outputs - outputs.mean(axis=0))[orders][:, ::-1]
+        k = np.arange(1, n + 1)[None, :, None]
+        s, q = np.cumsum(v, axis=1), np.cumsum(v * v, axis=1)
         sse = np.maximum(0, q - s * s / k)
-        out[1:] = sse if mode is Dispersion.SSE else sse / k
-        return out
-    if mode in (Dispersion.SSME, Dispersion.SME):
-        # Sorted columns grow by one value at a time; sums of the lower half follow from the change of the middle.
-        for a in range(0, m, max(1, CHUNK // max(1, n * n))):
-            out[1:, a : a + max(1, CHUNK // max(1, n * n))] = _medians(values[:, a : a + max(1, CHUNK // max(1, n * n))], mode)
-        return out
-    for i in range(1, n + 1):
-        out[i] = _slow(values[:i], mode)
+        out[:, :n] = (sse if mode is Dispersion.SSE else sse / k)[:, ::-1]
+    elif mode in (Dispersion.SSME, Dispersion.SME):
+        out[:, :n] = _by_middles(outputs, orders, mode)
+    else:
+        for i in range(f):
+            for d in range(n):
+                out[i, d] = _slow(outputs[orders[i, d:]], mode)
     return out
 
 
-def _medians(values: np.ndarray, mode: Dispersion) -> np.ndarray:
-    """SSME or SME of all heads, through ranks: which of the sorted values are in each head is a growing mask."""
-    n, m = values.shape
-    order = np.argsort(values, axis=0, kind="stable")
-    ranked = np.take_along_axis(values, order, 0)
-    born = np.empty((n, m), np.int64)  # the row at which a sorted value enters
-    born[np.arange(n)[:, None], np.arange(m)] = order
-    out = np.empty((n, m))
-    total, squares = np.cumsum(values, axis=0), np.cumsum(values * values, axis=0)
-    for i in range(1, n + 1):
-        inside = born < i
-        count = np.cumsum(inside, axis=0)
-        low = np.take_along_axis(ranked, (count >= (i + 1) // 2).argmax(axis=0)[None], 0)[0]
-        high = np.take_along_axis(ranked, (count >= i // 2 + 1).argmax(axis=0)[None], 0)[0]
-        med = (low + high) / 2
+def _by_middles(outputs: np.ndarray, orders: np.ndarray, mode: Dispersion) -> np.ndarray:
+    """SSME or SME while values leave, for all (order, column) pairs side by side.
+
+    Each pair keeps its remaining ranks as a doubly linked list and the two
+    middle ranks; a value that leaves moves the middle by one link at most.
+    """
+    f, n = orders.shape
+    m = outputs.shape[1]
+    ranked = np.sort(outputs, axis=0)
+    rank = np.empty((n, m), np.int64)
+    rank[np.argsort(outputs, axis=0, kind="stable"), np.arange(m)] = np.arange(n)[:, None]
+    leaving = rank[orders].transpose(1, 0, 2).reshape(n, -1) + 1  # ranks from 1; 0 and n + 1 are the ends
+    value = outputs[orders].transpose(1, 0, 2).reshape(n, -1)
+    pairs = f * m
+    at = np.arange(pairs)
+    table = np.zeros((n + 2, m))
+    table[1:-1] = ranked
+    column = np.tile(np.arange(m), f)
+    nxt = np.tile(np.arange(1, n + 3, dtype=np.int32), (pairs, 1))
+    prv = np.tile(np.arange(-1, n + 1, dtype=np.int32), (pairs, 1))
+    low = np.full(pairs, (n + 1) // 2)
+    high = np.full(pairs, n // 2 + 1)
+    half = table[1 : n // 2 + 1].sum(axis=0)[column]  # sum of the n // 2 smallest
+    total = np.cumsum(value[::-1], axis=0)[::-1]
+    squares = np.cumsum((value * value)[::-1], axis=0)[::-1]
+    out = np.empty((n, pairs))
+    for d in range(n):
+        k = n - d
+        a, b = table[low, column], table[high, column]
         if mode is Dispersion.SSME:
-            out[i - 1] = np.maximum(0, i * med * med - 2 * med * total[i - 1] + squares[i - 1])
+            mid = (a + b) / 2
+            out[d] = np.maximum(0, k * mid * mid - 2 * mid * total[d] + squares[d])
+        else:
+            out[d] = total[d] - 2 * half - (a if k % 2 else 0)
+        q = leaving[d]
+        before, after = prv[at, q], nxt[at, q]
+        if k % 2:  # one middle value: two of them are left
+            half += np.where(q < low, a - value[d], 0)
+            low, high = np.where(q < low, low, prv[at, low]), np.where(q > high, high, nxt[at, high])
         else:
-            lower = np.where(inside & (count <= i // 2), ranked, 0).sum(axis=0)
-            middle = med if i % 2 else 0
-            out[i - 1] = total[i - 1] - middle - 2 * lower
+            gone = q <= low
+            half -= np.where(gone, value[d], a)
+            low = high = np.where(gone, high, low)
+        nxt[at, before], prv[at, after] = after, before
+    return out.reshape(n, f, m).transpose(1, 0, 2)
+
+
+def scores(outputs: np.ndarray, orders: np.ndarray, mode: Dispersion, norm: int, sfr: float, std: np.ndarray) -> np.ndarray:
+    """D[0..n] of each draw order: (f, n + 1)."""
+    f, n = orders.shape
+    out = np.empty((f, n + 1))
+    step = max(1, CHUNK // max(1, n * outputs.shape[1]))
+    side = (np.arange(n + 1) / max(1, n))[None, :, None] ** sfr
+    for a in range(0, f, step):
+        some = orders[a : a + step]
+        left = _remaining(outputs, some, mode) * side[:, ::-1]
+        drawn = _remaining(outputs, some[:, ::-1], mode)[:, ::-1] * side
+        out[a : a + step] = ((left / std) ** norm + (drawn / std) ** norm).sum(axis=2)
     return out
 
 
 def two_sided(outputs: np.ndarray, mode: Dispersion, norm: int, sfr: float, std: np.ndarray) -> np.ndarray:
     """D[0..n] for outputs (n rows in draw order, m features)."""
-    n = len(outputs)
-    heads, tails = _heads(outputs, mode), _heads(outputs[::-1], mode)[::-1]
-    side = np.arange(n + 1)[:, None] / max(1, n)
-    return (((heads * side**sfr) / std) ** norm + ((tails * side[::-1] ** sfr) / std) ** norm).sum(axis=1)
+    return scores(outputs, np.arange(len(outputs))[None], mode, norm, sfr, std)[0]
 
 
 def candidates(inputs: np.ndarray, outputs: np.ndarray, mode="ssme", norm: int = 2, sfr: float = 1.0, standardize: bool = False, retry: bool = False) -> list[tuple[int, int, float, float]]:
@@ -177,9 +210,9 @@ def candidates(inputs: np.ndarray, outputs: np.ndarray, mode="ssme", norm: int =
         whole = _slow(outputs, mode)
         std = np.where(np.abs(whole) > 1e-10, whole, 1.0)
     found = []
-    for f in range(inputs.shape[1]):
-        order = np.argsort(inputs[:, f], kind="stable")
-        d = two_sided(outputs[order], mode, norm, sfr, std)[1 : n if retry and n > 1 else n + 1]
+    orders = np.argsort(inputs, axis=0, kind="stable").T
+    every = scores(outputs, orders, mode, norm, sfr, std)[:, 1 : n if retry and n > 1 else n + 1]
+    for f, (order, d) in enumerate(zip(orders, every)):
         i = int(np.argmin(np.round(d, 9)))
         found.append((f, int(order[i]), float(inputs[order[i], f]), float(d[i])))
     return [c for _, c in sorted(enumerate(found), key=lambda x: (round(x[1][3], 9), x[0]))]

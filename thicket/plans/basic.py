@@ -198,9 +198,9 @@ def _(spark, d):
     return D.running(D.draw_order(supplier_long(spark, d), ["feature_id"]), ["feature_id"]).select("feature_id", "rank", r("var", 3).alias("var"))
 
 
-@query("dsp_23_ordered_sse", _RUN + f" select f feature_id, rk as rank, {R('var_pop(v) over w * count(*) over w / 1000', 3)} as sse from o window w as (partition by f order by rk rows between current row and unbounded following)")
+@query("dsp_23_ordered_sse", _RUN + f" select f feature_id, rk as rank, {R('var_pop(v) over w * count(*) over w / 997.3::double', 3)} as sse from o window w as (partition by f order by rk rows between current row and unbounded following)")
 def _(spark, d):
-    return D.running(D.draw_order(supplier_long(spark, d), ["feature_id"]), ["feature_id"]).select("feature_id", "rank", r(F.col("sse") / 1000, 3).alias("sse"))
+    return D.running(D.draw_order(supplier_long(spark, d), ["feature_id"]), ["feature_id"]).select("feature_id", "rank", r(F.col("sse") / 997.3, 3).alias("sse"))
 
 
 _MADS = _RUN + ", q as (select a.f, a.rk, median(b.v) med from o a join o b on a.f = b.f and b.rk >= a.rk group by a.f, a.rk), w as (select q.f, q.rk, any_value(med) med, case when count(*) < 2 then 0 else median(abs(b.v - med)) end mad from q join o b on b.f = q.f and b.rk >= q.rk group by q.f, q.rk)"
@@ -385,10 +385,10 @@ def _(spark, d):
     return t.groupBy("flag").agg(r(S.pearson("q", "p"), 6).alias("r"))
 
 
-@query("agg_08_covariance", _CORR + f" select i, j, {R('covar_pop(a, b)', 3)} as cov from p group by i, j")
+@query("agg_08_covariance", _CORR + f" select i, j, {R('covar_pop(a, b)', 6)} as cov from p group by i, j")
 def _(spark, d):
     s = S.pair_sums(matrix.to_long(part_matrix(spark, d)))
-    return s.select("i", "j", r((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")) / F.col("w"), 3).alias("cov"))
+    return s.select("i", "j", r((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")) / F.col("w"), 6).alias("cov"))
 
 
 @query("agg_09_spearman", "with m as (select p_partkey sid, [p_size::double, p_retailprice::double, length(p_name)::double, regexp_extract(p_brand, '[0-9]+')::double] x from part), l as (select sid, f, x[f + 1] v from m, (select unnest([0,1,2,3]) f)), k as (select sid, f, count(*) over (partition by f order by v range between unbounded preceding and current row)::double v from l), p as (select a.f i, b.f j, a.v a, b.v b from k a join k b on a.sid = b.sid and a.f <= b.f) select i, j, case when i = j then 1.0 else " + R("coalesce(corr(a, b), 0)", 6) + " end as r from p group by i, j")

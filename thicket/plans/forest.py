@@ -313,11 +313,11 @@ def _(spark, d):
     return node_stats.determination(L(spark, d).stats).select(*KEY, r("cod", 5).alias("cod"))
 
 
-@query("nst_09_dispersions", f"select t tree_id, node node_id, f feature_id, {R('srs / n')} about_mean, {R('ssme / n', 3)} about_median from ns")
+@query("nst_09_dispersions", f"select t tree_id, node node_id, f feature_id, {R('srs / n', 6)} about_mean, {R('ssme / n', 6)} about_median from ns")
 def _(spark, d):
     s = L(spark, d).stats
-    a = node_stats.node_dispersions(s).select(*KEY, "feature_id", r("dispersion").alias("about_mean"))
-    return a.join(node_stats.node_dispersions(s, "median").select(*KEY, "feature_id", r("dispersion", 3).alias("about_median")), [*KEY, "feature_id"])
+    a = node_stats.node_dispersions(s).select(*KEY, "feature_id", r("dispersion", 6).alias("about_mean"))
+    return a.join(node_stats.node_dispersions(s, "median").select(*KEY, "feature_id", r("dispersion", 6).alias("about_median")), [*KEY, "feature_id"])
 
 
 @query("nst_10_error_ratio", f"select t tree_id, node node_id, f feature_id, {R('(srs + 1) / (srs + n * power(mean - coalesce(pmean, 0), 2) + 1)', 6)} error_ratio from np")
