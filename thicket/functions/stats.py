@@ -38,8 +38,14 @@ def mutual_information(labels: DataFrame, item: str, a: str, b: str) -> DataFram
 
 
 def pair_sums(long: DataFrame, sample: str = "sample_id", weight: str | None = None) -> DataFrame:
-    """Weighted sums of all feature pairs i <= j from a long matrix: the pairs meet within a sample."""
+    """Weighted sums of all feature pairs i <= j from a long matrix: the pairs meet within a sample.
+
+    Values are taken from their feature's mean, so that sums of squares keep their
+    digits whatever the values' size; covariances do not change by it.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
+    means = long.groupBy("feature_id").agg(F.avg("value").alias("__m"))
+    long = long.join(means, "feature_id").withColumn("value", F.col("value") - F.col("__m"))
     rows = long.groupBy(sample, *([weight] if weight else [])).agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("x"))
     pairs = rows.select(w.alias("w"), F.explode("x").alias("a"), "x").select("w", "a", F.explode(F.filter("x", lambda y: y["feature_id"] >= F.col("a.feature_id"))).alias("b"))
     x, y = F.col("a.value"), F.col("b.value")
