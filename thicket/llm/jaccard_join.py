@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
-from .store import Workspace, passes, pick, runtime_filter
+from .store import Workspace, forget, passes, pick, runtime_filter
 
 WIDTH = 5
 SIMILARITY = 80  # percent
@@ -79,8 +79,10 @@ def fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _sub_batches(batches, most: int = 1 << 24):
+def _sub_batches(batches, most: int = 1 << 23, keeps_tables: bool = False):
     """Batches of about ``most`` bytes of text at most (one long text may exceed it)."""
+    if not keeps_tables:
+        forget()
     for b in batches:
         size, at = max(1, b.nbytes), 0
         step = max(1, int(b.num_rows * most / size)) if b.num_rows else 1

@@ -155,7 +155,7 @@ def _pack(path, end, limit, segments):
             rows.clear()
             return out
 
-        for b in _sub_batches(batches, BATCH_BYTES):
+        for b in _sub_batches(batches, BATCH_BYTES, True):
             for doc, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).to_pylist(), path, end)):
                 emit(packer.add((doc, ids, len(ids) // 4), len(ids) // 4))
             if rows:

@@ -59,7 +59,7 @@ def _ranges(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1], np.maximum(offsets[1:] - GRAM + 1, offsets[:-1])
 
 
-def _per_text(raw, offsets, most=1 << 22):
+def _per_text(raw, offsets, most=1 << 20):
     """Pieces of a batch of about ``most`` bytes: (first row, buckets, offsets of its texts)."""
     at, n = 0, len(offsets) - 1
     while at < n:

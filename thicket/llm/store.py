@@ -27,8 +27,25 @@ def shared_root(spark: SparkSession) -> str:
     return (found or LOCAL_ROOT).rstrip("/")
 
 
+#: Tables that a worker keeps between tasks.  Stages that do not use them let go of them first.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    for table in KEPT:
+        table.clear()
+
+
+#: Bytes of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
+ARROW_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package; clusters install it."""
+    """Let Python workers on this machine import the package (clusters install it), and bound Arrow batches by bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now and not 0 < int(now.rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     now = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if _PACKAGE_ROOT not in now.split(os.pathsep):

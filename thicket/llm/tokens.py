@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import _sub_batches
-from .store import prepare
+from .store import KEPT, prepare
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of one generation of a worker's table: some 200 MB for both at most.
-TABLE = 500_000
+#: Entries of one generation of a worker's table: some 170 MB for both at most.
+TABLE = 400_000
 #: Bytes of text handled at a time.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 OVER = 512
 
 #: White space as the tokenizer's pattern has it: Python's, without the four separators U+001C to U+001F.
@@ -133,6 +133,7 @@ class Table:
 MARKS = frozenset(".,;:!?")
 
 _TABLES: dict[tuple[str, str], Table] = {}
+KEPT.append(_TABLES)
 
 
 def table(path: str, kind: str) -> Table:
@@ -149,7 +150,7 @@ def pieces(text: str | None) -> list[str]:
 def _counts(path: str, over: int):
     def run(batches):
         held = table(path, "count")
-        for b in _sub_batches(batches, BATCH_BYTES):
+        for b in _sub_batches(batches, BATCH_BYTES, True):
             cut = [pieces(t) for t in b.column(1).to_pylist()]
             known = held.learn(p for c in cut for p in c)
             n = [sum(map(known.__getitem__, c)) for c in cut]
