@@ -76,4 +76,28 @@ QUERIES = {
     "op10_chat_quotes": op10_chat_quotes,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_jaccard_join": """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+l as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by all),
+e as (select a, b from l join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) component_id
+from d left join n using (doc_id) left join (select a, min(b) b from r group by a) c on c.a = d.doc_id""",
+    "op2_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) g from pages),
+f as (select g, min(page_id) first from p where n >= 100 group by g)
+select page_id, n payload_bytes, g payload_digest, case when page_id != first then 'revisit' else 'response' end record_type, case when page_id != first then first end refers_to
+from p left join f using (g)""",
+    "op9_substring_dedup": """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+p as (select doc_id, i, array_to_string(w[i:i + 34], ' ') g from d, unnest(range(1, greatest(len(w) - 33, 1))) u(i)),
+c as (select g from p group by g having count(*) > 1),
+h as (select doc_id, i, 1 hit from p semi join c using (g)),
+t as (select doc_id, unnest(range(1, len(w) + 1)) i, unnest(w) word from d),
+v as (select t.doc_id, t.i, word, max(hit) over (partition by t.doc_id order by t.i rows between 34 preceding and current row) gone from t left join h using (doc_id, i)),
+k as (select doc_id, count(gone) n_removed, string_agg(word, ' ' order by i) filter (gone is null) kept from v group by doc_id)
+select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (doc_id)""",
+}
