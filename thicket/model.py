@@ -11,6 +11,8 @@ from .operators import community, compare, consensus, factors, knn, matrix, navi
 from .operators.trainer import Parameters, grow
 
 KEY = ["tree_id", "node_id"]
+#: Samples beyond which node medians are not left to one task per node.
+LARGE = 20_000_000
 
 
 def _matrix(spark: SparkSession, data) -> DataFrame:
@@ -69,7 +71,8 @@ class Forest:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return node_stats.node_stats(self.values).persist()
+        large = self.outputs.count() > LARGE
+        return node_stats.node_stats(self.values, large).persist()
 
     @cached_property
     def long(self) -> DataFrame:

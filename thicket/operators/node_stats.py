@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dispersion import median
+from ..functions.quantiles import exact_medians
 from ..functions.stats import ratio
 from .navigate import ancestry, parent, sister
 from .routing import visits
@@ -24,9 +25,18 @@ def node_values(routed: DataFrame, trees: list[int]) -> DataFrame:
     return v.select(*KEY, "sample_id", F.posexplode("x").alias("feature_id", "value"))
 
 
-def node_stats(values: DataFrame) -> DataFrame:
-    """n, mean, median, srs (squared residuals about the mean) and sse about the median."""
+def node_stats(values: DataFrame, large: bool = False) -> DataFrame:
+    """n, mean, median, srs (squared residuals about the mean) and ssme (about the median).
+
+    ``large``: nodes hold more distinct values than fit in a task; medians are
+    then found by narrowing brackets, still exactly.
+    """
     v, m = F.col("value"), median()
+    if large:
+        keys = [*KEY, "feature_id"]
+        s = values.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("srs"))
+        gap = F.col("mean") - F.col("median")
+        return s.join(exact_medians(values, keys), keys).select(*keys, "n", "mean", "median", "srs", (F.col("srs") + F.col("n") * gap * gap).alias("ssme"))
     return values.groupBy(*KEY, "feature_id").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), m.alias("median"), (F.var_pop(v) * F.count(v)).alias("srs"), (F.count(v) * m * m - 2 * m * F.sum(v) + F.sum(v * v)).alias("ssme")
     )

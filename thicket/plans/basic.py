@@ -385,10 +385,10 @@ def _(spark, d):
     return t.groupBy("flag").agg(r(S.pearson("q", "p"), 6).alias("r"))
 
 
-@query("agg_08_covariance", _CORR + f" select i, j, {R('covar_pop(a, b)', 5)} as cov from p group by i, j")
+@query("agg_08_covariance", _CORR + f" select i, j, {R('covar_pop(a, b)', 4)} as cov from p group by i, j")
 def _(spark, d):
     s = S.pair_sums(matrix.to_long(part_matrix(spark, d)))
-    return s.select("i", "j", r((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")) / F.col("w"), 5).alias("cov"))
+    return s.select("i", "j", r((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")) / F.col("w"), 4).alias("cov"))
 
 
 @query("agg_09_spearman", "with m as (select p_partkey sid, [p_size::double, p_retailprice::double, length(p_name)::double, regexp_extract(p_brand, '[0-9]+')::double] x from part), l as (select sid, f, x[f + 1] v from m, (select unnest([0,1,2,3]) f)), k as (select sid, f, count(*) over (partition by f order by v range between unbounded preceding and current row)::double v from l), p as (select a.f i, b.f j, a.v a, b.v b from k a join k b on a.sid = b.sid and a.f <= b.f) select i, j, case when i = j then 1.0 else " + R("coalesce(corr(a, b), 0)", 6) + " end as r from p group by i, j")
