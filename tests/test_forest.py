@@ -129,3 +129,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 800
     assert len(e.queries()) > 180 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("bucket", [3, 50, 10_000])
+def test_draws_hit_every_position(spark, monkeypatch, bucket):
+    from thicket.operators import sampling
+
+    monkeypatch.setattr(sampling, "BUCKET", bucket)
+    member = spark.createDataFrame([(t, n, s) for t in range(2) for n, k in ((1, 40), (2, 7)) for s in range(100, 100 + k)], "tree_id int, node_id long, sample_id long")
+    draws = spark.createDataFrame([(t, n, p, p % k) for t in range(2) for n, k in ((1, 40), (2, 7)) for p in range(2 * k)], "tree_id int, node_id long, draw_no long, position long")
+    got = sampling.drawn_samples(member, draws, 94).collect()
+    assert len(got) == 2 * (80 + 14)
+    for t in range(2):
+        for n, k in ((1, 40), (2, 7)):
+            mine = {r.draw_no: r.sample_id for r in got if (r.tree_id, r.node_id) == (t, n)}
+            assert sorted(mine[i] for i in range(k)) == list(range(100, 100 + k)) and all(mine[i] == mine[i + k] for i in range(k))

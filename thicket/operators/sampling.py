@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 M = 2147483647
-#: Samples in a bucket of the position index, about.
-BUCKET = 100_000
+#: Samples in a bucket of the position index, about: only buckets that a draw falls into are sorted.
+BUCKET = 2_000
 
 
 def _c(x) -> Column:
@@ -44,15 +44,21 @@ def drawn_samples(member: DataFrame, draws: DataFrame, total: int) -> DataFrame:
 
     A node's samples are numbered bucket by bucket (buckets by hash of the
     sample): one small table of bucket sizes gives each bucket its first
-    position, and only rows inside a bucket are ever sorted together.
+    position, and only rows inside a bucket are ever sorted together.  Draws find
+    their bucket by an equality join on cells of the position range, each bucket
+    touching a few cells.
     """
     buckets = max(1, math.ceil(total / BUCKET))
     key = ["tree_id", "node_id"]
     held = member.select(*key, "sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(buckets)).alias("bucket"))
     sizes = held.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    wanted = draws.join(first, key).where((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n"))).select(*key, "bucket", "draw_no", (F.col("position") - F.col("first") + 1).alias("place"))
+    whole = Window.partitionBy(*key)
+    width = F.greatest(F.lit(1), F.ceil(F.sum("n").over(whole) / F.lit(buckets)))
+    first = sizes.withColumns({"first": F.coalesce(F.sum("n").over(upto), F.lit(0)), "width": width})
+    cells = first.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor((F.col("first") + F.col("n") - 1) / F.col("width")))))
+    asked = draws.join(first.groupBy(*key).agg(F.first("width").alias("w")), key).withColumn("cell", F.floor(F.col("position") / F.col("w")))
+    wanted = asked.join(cells, [*key, "cell"]).where((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n"))).select(*key, "bucket", "draw_no", (F.col("position") - F.col("first") + 1).alias("place"))
     place = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("sample_id"))
     numbered = held.join(wanted.select(*key, "bucket").distinct(), [*key, "bucket"], "left_semi").withColumn("place", place)
     return numbered.join(wanted, [*key, "bucket", "place"]).select(*key, "draw_no", "sample_id")

@@ -169,11 +169,15 @@ def grow(inputs: DataFrame, outputs: DataFrame | None, p: Parameters) -> tuple[D
             at = routed.select("sample_id", "x", F.posexplode("leaves").alias("tree_id", "node_id")).join(opened, ["tree_id", "node_id"])
             member = at.select("tree_id", "node_id", "sample_id")
             active = member.groupBy("tree_id", "node_id").agg(F.count(F.lit(1)).alias("pop"))
-            drawn = sampling.drawn_samples(member, sampling.node_draws(active, p.samples, p.seed), total)
+            # Counted, so that the joins below know how small draws and candidates are.
+            drawn = sampling.drawn_samples(member, sampling.node_draws(active, p.samples, p.seed), total).persist()
+            drawn.count()
             bags = drawn.join(matrix, "sample_id").select("tree_id", "node_id", "draw_no", "x", "y")
             found = bags.groupBy("tree_id", "node_id").applyInArrow(_search(p, wi, wo), CANDIDATE).persist()
+            found.count()
             won = _accept(at.select("tree_id", "node_id", "x"), found, p.min_leaf)
             found.unpersist()
+            drawn.unpersist()
             open_nodes = []
             for r in sorted(won, key=lambda r: (r.tree_id, r.node_id)):
                 s = Split(r.tree_id, r.node_id, tuple(r.features), tuple(r.means), tuple(r.scores), r.split)
