@@ -61,6 +61,8 @@ def test_unsupervised_reduced_and_factors(spark):
     scores = f.factor_matrix().collect()
     assert all(-1 <= r.score <= 1 for r in scores) and {r.factor_id for r in scores} >= {0, 1}
     assert f.tree.where("factor_id = 0").first().parent_factor_id is None
+    summary = f.report(1).collect()
+    assert {r.factor_id for r in summary} == {r.factor_id for r in f.factor_nodes.select("factor_id").distinct().collect()} and '"features"' in summary[-1].summary
     by = f.trim(0.99)
     assert by.node_table.count() <= f.node_table.count()
 

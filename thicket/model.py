@@ -189,6 +189,15 @@ class Forest:
     def most_likely_tree(self) -> DataFrame:
         return consensus.most_likely_tree(consensus.transitions(self.factor_nodes, self.node_table))
 
+    def report(self, n: int = 10, path: str | None = None) -> DataFrame:
+        """One JSON object per factor: level, population, the n most changed features each way, parent; written as text if a path is given."""
+        levels = factors.factor_levels(self.node_table, self.factor_nodes, navigate.populations(self.member))
+        top = factors.top_and_bottom(factors.changed(self.stats, self.factor_nodes, self.node_table), ["factor_id"], "change", n)
+        out = factors.summaries(levels, top, self.tree)
+        if path:
+            out.select("summary").write.mode("overwrite").text(path)
+        return out
+
     # -- sample clusters ---------------------------------------------------------------------------------------------
 
     def cluster_samples_simple(self, k: int = 10, pca: int = 0, metric: str = "cosine", resolution: float = 1.0, seed: int = 0) -> DataFrame:
