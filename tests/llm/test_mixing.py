@@ -89,6 +89,6 @@ def test_bisection_ends():
 
 def test_empty_and_clashing_columns(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
-    df = spark.createDataFrame([(1, "a b", "s", 7, "x")], SCHEMA + ", n_tokens int, epoch string")
+    df = spark.createDataFrame([(1, "a b", "s", 7, "x", 1, 2, 3)], SCHEMA + ", n_tokens int, epoch string, blocks int, rest int, passes int")
     out = mix(df)
-    assert out.columns[:5] == df.columns and [tuple(r)[:5] for r in out.collect()] == [(1, "a b", "s", 7, "x")]
+    assert out.columns[:8] == df.columns and [tuple(r)[:8] for r in out.collect()] == [(1, "a b", "s", 7, "x", 1, 2, 3)]

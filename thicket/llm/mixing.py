@@ -77,10 +77,10 @@ def _sized(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"__source": key, "__tokens": F.greatest(F.lit(1), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORDS)), F.lit(0))).cast("long"), "__key": F.xxhash64(F.lit(SEED), "doc_id", text)})
 
 
-def _place(epoch):
+def _place(epoch, blocks="blocks"):
     """Block and place inside it, from the row's hash and the pass."""
     h = F.xxhash64("__key", epoch)
-    return F.pmod(h, "blocks"), F.pmod(F.xxhash64(h, F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return F.pmod(h, blocks), F.pmod(F.xxhash64(h, F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def plan(docs: DataFrame, ws: Workspace, entropy: float | None = None, repeats: float | None = MAX_REPEATS, budget: int | None = None) -> DataFrame:
@@ -116,15 +116,16 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = M
     ws = Workspace(docs.sparkSession, "mixing")
     sources = plan(docs, ws, entropy, repeats, budget)
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = _sized(docs, "text").join(sources.select("__source", F.col("tokens").alias("__all"), F.col("budget").alias("__budget"), "passes", "blocks", "cut_block", "rest"), "__source")
-    last = F.when(F.col("cut_block") >= 0, F.col("passes")).otherwise(F.col("passes") - 1)
+    of = {"tokens": "__all", "budget": "__budget", "passes": "__passes", "blocks": "__blocks", "cut_block": "__cut", "rest": "__rest"}
+    rows = _sized(docs, "text").join(sources.select("__source", *[F.col(k).alias(v) for k, v in of.items()]), "__source")
+    last = F.when(F.col("__cut") >= 0, F.col("__passes")).otherwise(F.col("__passes") - 1)
     rows = rows.where(last >= 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    block, place = _place(F.col("__epoch"))
+    block, place = _place(F.col("__epoch"), "__blocks")
     rows = rows.withColumns({"__block": block, "__place": place})
-    order = (F.col("__epoch") + (F.col("__block") + F.col("__place")) / F.col("blocks")) * F.col("__all") / F.col("__budget")
+    order = (F.col("__epoch") + (F.col("__block") + F.col("__place")) / F.col("__blocks")) * F.col("__all") / F.col("__budget")
     shape = lambda t: t.select(*cols, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.round(order, 9).alias("mix_order"))
-    whole = rows.where((F.col("__epoch") < F.col("passes")) | (F.col("__block") < F.col("cut_block")))
+    whole = rows.where((F.col("__epoch") < F.col("__passes")) | (F.col("__block") < F.col("__cut")))
     upto = Window.partitionBy("__source").orderBy("__place", "__key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where((F.col("__epoch") == F.col("passes")) & (F.col("__block") == F.col("cut_block")))
-    edge = edge.withColumn("__upto", F.sum("__tokens").over(upto)).where(F.col("__upto") <= F.col("rest"))
+    edge = rows.where((F.col("__epoch") == F.col("__passes")) & (F.col("__block") == F.col("__cut")))
+    edge = edge.withColumn("__upto", F.sum("__tokens").over(upto)).where(F.col("__upto") <= F.col("__rest"))
     return shape(whole).union(shape(edge))
