@@ -41,6 +41,8 @@ def gather(nodes: DataFrame) -> tuple[list[int], list[Split]]:
 
 
 def score(x: Column, s: Split) -> Column:
+    if len(s.features) == 1 and s.means[0] == 0 and s.scores[0] == 1:  # a plain feature stays a plain comparison
+        return x[s.features[0]]
     total = F.lit(0.0)
     for f, m, w in zip(s.features, s.means, s.scores):
         total = total + (x[f] - F.lit(m)) * F.lit(w)
