@@ -91,43 +91,31 @@ def ranked(path: str):
     return _LOADED[key]
 
 
-class Table:
-    """piece -> value in two generations: when the young one is full it becomes the old one, and what is still used moves over."""
+class Table(dict):
+    """piece -> value, learnt on first use, in two generations: a full table becomes the old one, and what is still used moves over."""
 
     def __init__(self, path: str, value):
-        self.path, self.value, self.young, self.old = path, value, {}, {}
-
-    def learn(self, pieces) -> dict:
-        """A table that holds all the pieces."""
-        if len(self.young) > TABLE:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for p in set(pieces).difference(young):
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
-        fast, encode, value = ranked(self.path), tokenizer(self.path), self.value
-        if fast is None:
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for p, e in zip(some, encode.encode_batch_fast(some, add_special_tokens=False)):
-                    young[p] = value(e.ids)
-            return young
-        fast, special = fast
-        one = fast.encode_ordinary
-        for p in new:
-            # A mark after a letter is a token of its own when the piece ends with it.
-            if p[-1] in MARKS and p[-2:-1].isalpha():
-                stem = young.get(p[:-1]) or old.get(p[:-1])
-                if stem is None:
-                    stem = young[p[:-1]] = value(one(p[:-1]))
-                young[p] = stem + value(one(p[-1]))
-            elif "<" in p and any(s in p for s in special):
-                young[p] = value(encode.encode(p, add_special_tokens=False).ids)
-            else:
-                young[p] = value(one(p))
-        return young
+        super().__init__()
+        self.value, self.old, self.encode = value, {}, tokenizer(path).encode
+        fast = ranked(path)
+        self.one, self.special = (fast[0].encode_ordinary, fast[1]) if fast else (None, ())
+
+    def __missing__(self, piece: str):
+        if len(self) >= TABLE:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(piece)
+        if found is None:
+            found = self._learn(piece)
+        self[piece] = found
+        return found
+
+    def _learn(self, piece: str):
+        if self.one is None or ("<" in piece and any(s in piece for s in self.special)):
+            return self.value(self.encode(piece, add_special_tokens=False).ids)
+        if piece[-1] in MARKS and piece[-2:-1].isalpha():  # such a mark is a token of its own
+            return self[piece[:-1]] + self.value(self.one(piece[-1]))
+        return self.value(self.one(piece))
 
 
 MARKS = frozenset(".,;:!?")
@@ -149,10 +137,9 @@ def pieces(text: str | None) -> list[str]:
 
 def _counts(path: str, over: int):
     def run(batches):
-        held = table(path, "count")
+        known = table(path, "count")
         for b in _sub_batches(batches, BATCH_BYTES, True):
             cut = [pieces(t) for t in b.column(1).to_pylist()]
-            known = held.learn(p for c in cut for p in c)
             n = [sum(map(known.__getitem__, c)) for c in cut]
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > over for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -169,7 +156,6 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
 
 def document_ids(texts: list[str | None], path: str, end: int | None) -> list[bytes]:
     """The ids of each text as bytes, then ``end``."""
-    cut = [pieces(t) for t in texts]
-    known = table(path, "ids").learn(p for c in cut for p in c)
+    get = table(path, "ids").__getitem__
     tail = b"" if end is None else array("I", [end]).tobytes()
-    return [b"".join(map(known.__getitem__, c)) + tail for c in cut]
+    return [b"".join(map(get, pieces(t))) + tail for t in texts]
