@@ -4,13 +4,13 @@ from thicket import cli
 
 
 def test_flags():
-    files, options = cli.parse("-c iris.tsv -p 3 -o ./elsewhere/ -ifh header_backup.txt".split())
-    assert files["input"] == "iris.tsv" and files["save"] == "./elsewhere/" and files["input_header"] == "header_backup.txt"
+    files, options = cli.parse("-c m.tsv -p 3 -o ./elsewhere/ -ifh names.txt".split())
+    assert files["input"] == "m.tsv" and files["save"] == "./elsewhere/" and files["input_header"] == "names.txt"
     assert options["unsupervised"] is True
     files, options = cli.parse("-ic a -oc b -reduce_output -t 5 -sfr 0.5 -dm mad".split())
     assert files["output"] == "b" and options["reduce_output"] is True and options["sfr"] == "0.5"
     with pytest.raises(TypeError):
-        cli.parse(["-braids", "3"])
+        cli.parse(["-nonsense", "3"])
 
 
 def test_run(spark, tmp_path):

@@ -21,6 +21,7 @@ from .routing import Split, _route_arrow, leaf_of, COMPILED, reduction_score
 
 NODE_SCHEMA = "tree_id int, node_id long, level int, is_leaf boolean, features array<int>, means array<double>, scores array<double>, split double"
 
+#: Other names of the options.
 _ALIASES = {
     "t": "trees", "depth": "max_depth", "l": "min_leaf", "leaves": "min_leaf", "dm": "dispersion", "dispersion_mode": "dispersion", "n": "norm", "norm_mode": "norm",
     "split_fraction_regularization": "sfr", "std": "standardize", "standardized": "standardize", "if": "input_features", "ifs": "input_features", "in_features": "input_features",
