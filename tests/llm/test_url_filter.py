@@ -103,3 +103,17 @@ def test_query(spark):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     rows = [tuple(r) for r in pages.select("page_id", "url", U.weak_label(F.col("html"))).collect()]
     assert sorted((tuple(r) for r in op3_url_filter(spark, d).collect()), key=str) == brute(rows)
+
+
+def test_a_rare_branch_that_surely_differs_is_kept(spark):
+    def pages(host, odd_is_bad):
+        return [(f"http://{host}/d{chr(97 + k)}/{i}", (k == 3) == odd_is_bad) for k in range(U.BRANCHES + 4) for i in range(40)]
+
+    # One bad directory of many clean ones, one clean of many bad ones, and single pages whose labels prove nothing.
+    urls = pages("wide.org", True) + pages("worse.org", False) + [(f"http://one.org/{chr(97 + k)}{chr(97 + j)}", k == j == 0) for k in range(10) for j in range(10)]
+    rows = [(i, url, bad) for i, (url, bad) in enumerate(urls)]
+    by_page = {r[0]: r[4] for r in U.filter_urls(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    verdict = {url: by_page[i] for i, (url, _) in enumerate(urls)}
+    assert all(v == ("block" if "/dd/" in u else "allow") for u, v in verdict.items() if "wide.org" in u)
+    assert all(v == ("allow" if "/dd/" in u else "block") for u, v in verdict.items() if "worse.org" in u)
+    assert all(v == "allow" for u, v in verdict.items() if "one.org" in u)

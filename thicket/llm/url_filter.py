@@ -8,9 +8,12 @@ rule are judged by templates learned from labelled urls:
    the tree's input has one row for each shape of a host's paths.
 2. Level by level from the host down, segments are generalised: a parent with
    more than ``BRANCHES`` children has its children of little support turned
-   into ``*``; then branches whose share of bad labels does not differ from
-   that of their siblings (two-proportion z below ``Z``) are merged into ``*``
-   too.  What stays literal is frequent or different.
+   into ``*``, unless their share of bad labels differs even when so many
+   siblings are tried: ``l * KL(bad / l, share of the parent)``, the exponent of
+   Hoeffding's bound on the exact test's tail, above ``ln(2 * branches / ALPHA)``.
+   Branches whose share does not differ from that of their siblings
+   (two-proportion z below ``Z``) are merged into ``*`` too.  What stays literal
+   is different, and frequent or surely so.
 3. A template is rejected when the smoothed share of good labels among its urls,
    ``(good + PRIOR * base) / (labelled + PRIOR)``, is below ``PURITY``; base is
    the share over all hosts.
@@ -45,6 +48,7 @@ DEPTH = 6
 BRANCHES = 16
 SUPPORT = 0.1
 Z = 1.96
+ALPHA = 0.05
 PRIOR = 5.0
 PURITY = 0.5
 
@@ -92,7 +96,10 @@ def template_tree(shapes: DataFrame, ws: Workspace) -> DataFrame:
         gap = F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - (F.col("all_b") - F.col("b")) / F.greatest(rest, F.lit(1)))
         similar = (F.col("l") == 0) | (rest == 0) | (se == 0) | (gap < Z * se)
         rare = (F.col("branches") > BRANCHES) & (F.col("n") < SUPPORT * F.col("all"))
-        named = both.select("host", "template", "part", F.when(rare | similar, "*").otherwise(F.col("part")).alias("name"))
+        share = F.col("b") / F.greatest(F.col("l"), F.lit(1))
+        kl = F.when(share > 0, share * F.log(share / p)).otherwise(0.0) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+        sure = F.col("l") * kl > F.log(2 * F.col("branches") / F.lit(ALPHA))
+        named = both.select("host", "template", "part", F.when(similar | (rare & ~sure), "*").otherwise(F.col("part")).alias("name"))
         grown = live.join(named, ["host", "template", "part"], "left").select("host", "shape", "n", "labelled", "bad", "seg", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.array_append("template", F.coalesce("name", "part"))).alias("template"))
         nxt = ws.save(grown, f"level{d + 1}")
         ws.drop(f"level{d}")
