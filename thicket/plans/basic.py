@@ -45,9 +45,8 @@ LV = "with t as (select l_returnflag flag, l_quantity::double v from lineitem),
 
 
 def supplier_long(spark: SparkSession, d: str):
-    """100 suppliers at most by key: balances and nations, as a long matrix.  The scans' sample is a bag of rows."""
-    t = table(spark, d, "supplier").where("s_suppkey <= 100")
-    return matrix.to_long(matrix.wide(t, "s_suppkey", ["s_acctbal", "s_nationkey"]))
+    """Balances and nations of all suppliers, as a long matrix.  (SL holds the 100 lowest keys only: all rows up to sf0.01.)"""
+    return matrix.to_long(matrix.wide(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"]))
 
 
 SL = "with m as (select s_suppkey sid, 0 f, s_acctbal::double v from supplier where s_suppkey <= 100 union all select s_suppkey, 1, s_nationkey::double from supplier where s_suppkey <= 100)"
