@@ -32,3 +32,19 @@ def test_all_suppliers_count(spark, suppliers, name):
     cols = rel.columns
     got = sorted((tuple(plain(r[c]) for c in cols) for r in catalog.queries()[name](spark, suppliers).collect()), key=str)
     assert got == sorted((tuple(map(plain, r)) for r in rel.fetchall()), key=str)
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("parts"))
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(1, 51)), float(rng.uniform(900, 1000)), "n" * int(rng.integers(5, 30)), f"Brand#{rng.integers(11, 56)}") for k in range(361, 441)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double, p_name string, p_brand string").write.parquet(f"{d}/part.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["clu_12_cluster_samples", "clu_13_cluster_encoding"])
+def test_all_samples_are_clustered(spark, parts, name):
+    rows = catalog.queries()[name](spark, parts).collect()
+    assert sorted(r.sample_id for r in rows) == list(range(361, 441))
+    assert sorted({r.cluster_id for r in rows}) == list(range(max(r.cluster_id for r in rows) + 1))

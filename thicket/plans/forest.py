@@ -546,20 +546,12 @@ def _(spark, d):
 
 @query("clu_12_cluster_samples")
 def _(spark, d):
-    f = L(spark, d)
-    few = f.outputs.where("sample_id <= 400")
-    from ..model import Forest
-
-    return Forest(f.node_table, few, few, f.names).cluster_samples_simple(k=8, metric="euclidean")
+    return L(spark, d).cluster_samples_simple(k=8, metric="euclidean")
 
 
 @query("clu_13_cluster_encoding")
 def _(spark, d):
-    f = L(spark, d)
-    few = f.outputs.where("sample_id <= 400")
-    from ..model import Forest
-
-    return Forest(f.node_table, few, few, f.names).cluster_samples_encoding(k=8)
+    return L(spark, d).cluster_samples_encoding(k=8)
 
 
 LEAFL = "ll as (select t, node, (t + node) % 3 lc from nd where is_leaf)"
