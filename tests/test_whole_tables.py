@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from thicket import catalog
+from thicket.operators import nipals, scan
+from thicket.plans.literal import part_matrix
 
 from .test_catalog import plain
 
@@ -48,3 +50,18 @@ def test_all_samples_are_clustered(spark, parts, name):
     rows = catalog.queries()[name](spark, parts).collect()
     assert sorted(r.sample_id for r in rows) == list(range(361, 441))
     assert sorted({r.cluster_id for r in rows}) == list(range(max(r.cluster_id for r in rows) + 1))
+
+
+def test_components_of_all_samples(spark, parts):
+    got = [r.weights for r in sorted(catalog.queries()["trn_16_nipals"](spark, parts).collect(), key=lambda r: r.component)]
+    want, _, _ = nipals.components(np.array([r.x for r in part_matrix(spark, parts).collect()]), 4)
+    assert np.allclose(got, want, atol=2e-4)
+
+
+def test_all_vectors_are_scanned(spark, tmp_path):
+    x = np.random.default_rng(7).standard_normal((30, 4))
+    rows = [(k + 285, v.tolist()) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.candidate, r.feature_id, r.threshold) for r in catalog.queries()["bench_embedding_scan"](spark, str(tmp_path)).collect()]
+    want = [(i, c[0], round(c[2], 6)) for i, c in enumerate(scan.candidates(x, x, "ssme", 1, 1.0, True))]
+    assert sorted(got) == want

@@ -312,17 +312,9 @@ def _(spark, d):
 
 @query("trn_16_nipals")
 def _(spark, d):
-    """Components of the part matrix, one group; the matrix of a node's bag in production."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        w, _, _ = nipals.components(np.array(pdf["x"].tolist()), 4)
-        return pd.DataFrame({"component": range(4), "weights": [x.round(4).tolist() for x in w]})
-
-    bag = part_matrix(spark, d).where("sample_id <= 300").withColumn("g", F.lit(0))
-    return bag.groupBy("g").applyInPandas(run, "component int, weights array<double>")
+    """Components of the whole part matrix, from its distributed sums."""
+    w = nipals.weights(part_matrix(spark, d), 4)
+    return spark.createDataFrame([(k, x.round(4).tolist()) for k, x in enumerate(w)], "component int, weights array<double>")
 
 
 @query("trn_17_centring", "with m as (select p_partkey sid, 0 f, p_size::double v from part union all select p_partkey, 1, p_retailprice from part) select sid sample_id, f feature_id, " + R("v - avg(v) over (partition by f)", 3) + " as value from m")
