@@ -106,3 +106,38 @@ def test_limits_in_all_dimensions():
         covered[i] += range(start, start + length)
     assert all(t <= 256 and s <= 5 and k <= 150 for t, s, k in used.values())
     assert all(sorted(covered[i]) == list(range(len(m))) for i, m in sizes.items())
+
+
+@pytest.mark.parametrize("words", [0, 1, 3, 30])
+def test_short_texts_are_packed_without_padding(spark, library, words):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(words))) for i in range(1500)]
+    docs = [(d, library.encode(t, add_special_tokens=False).ids + [1]) for d, t in rows]
+    padding, total = check_pieces(pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect(), docs)
+    assert padding < 0.01 * total
+
+
+def test_loss_limit_through_the_operator(spark, library):
+    rows = [(i, "ask me " * (i % 40 + 1) + "answer " * (i % 7 + 1)) for i in range(300)] + [(900, None), (901, "long " * 5000)]
+    n = {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+    spans = {d: None if d % 10 == 0 else [(max(0, n[d] - 5), n[d] + 3)] for d, _ in rows}
+    df = spark.createDataFrame([(d, t, spans[d]) for d, t in rows], "doc_id long, text string, answers array<struct<first: long, end: long>>")
+    out = pack_documents(df.repartition(2), limit=256, segments=6, loss=40, loss_spans="answers").collect()
+    per, covered = defaultdict(lambda: [0, 0, 0]), defaultdict(list)
+    for r in out:
+        own = range(r.start, r.start + r.length)
+        assert r.loss_tokens == sum(spans[r.doc_id] is None or k >= spans[r.doc_id][0][0] for k in own)
+        per[r.sequence_id] = [a + b for a, b in zip(per[r.sequence_id], (r.length, 1, r.loss_tokens))]
+        covered[r.doc_id] += own
+    assert all(t <= 256 and s <= 6 and k <= 40 for t, s, k in per.values())
+    assert all(sorted(covered[d]) == list(range(n[d])) for d in n)
+
+
+def test_the_table_is_bounded_by_bytes(monkeypatch):
+    from thicket.llm import tokens
+
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 20_000)
+    table = tokens.Table(vocabulary_path(), len)
+    for i in range(3000):
+        assert table[f" piece{i}"] == len(table.encode(f" piece{i}", add_special_tokens=False).ids)
+    assert table["y" * 100_000] > 0 and "y" * 100_000 not in table
+    assert len(table) + len(table.old) < 3000

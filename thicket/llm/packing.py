@@ -8,15 +8,20 @@ the bin's free room, both relative to the limits, goes next.
 Examples longer than a sequence are cut into whole sequences and a rest.  Items
 wait in a bounded buffer; a bin that nothing at hand fits is topped up with a
 piece cut from the smallest item at hand, so it ends full unless its segments or
-loss tokens are used up.  The rest of a task that fills no sequence is cut into
-lengths that are powers of two, which need no padding.
+loss tokens are used up.  What such a bin holds, and the rest of a task that
+fills no sequence, is cut into lengths that are powers of two, which need no
+padding; only a bin that lacks less than ``1 / SLACK`` of its tokens is padded.
 
 Packing is a map over the scan: every task packs its own rows, nothing is
 shuffled, and memory is bounded by the buffer.  Sequence ids hold the task's
 number above and a running number below; they are unique, not consecutive.
 
 Defined results: a null text is an empty one; its document is the end token
-alone.  Repeated rows are packed each.  An empty table gives an empty result.
+alone.  Repeated rows are packed each.  Of items with equal dot products the one
+that stands first in the buffer goes next, so which sequence holds a document
+depends on the order of rows in a task; every token lies in exactly one piece
+whatever the order.  A null list of loss spans means that all tokens bear loss;
+spans beyond the document's end are cut.  An empty table gives an empty result.
 Other columns are ignored.
 """
 
@@ -29,9 +34,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .jaccard_join import _sub_batches
-from .store import prepare
+from .store import lean, prepare, sub_batches
 from .tokens import BATCH_BYTES, document_ids, vocabulary_path
 
 LIMIT = 2048
@@ -39,6 +44,8 @@ END = 1
 SEGMENTS = 64
 #: Items that wait at most.
 BUFFER = 1024
+#: A sequence whose segments or loss tokens are used up is padded only if it lacks less than this part.
+SLACK = 128
 
 
 class Packer:
@@ -119,7 +126,7 @@ class Packer:
             placed.append((item, n))
             room, segments = room - n, segments - 1
             loss -= n if item[2] is None else int(item[2][item[1] : item[1] + n].sum())
-        if room and ending and not self.items:
+        if room * SLACK > self.tokens or (room and ending and not self.items):
             yield from self._powers(placed, self.tokens - room)
             return
         offset = 0
@@ -141,23 +148,46 @@ class Packer:
                     room, offset = (1 << (total.bit_length() - 1)) if total else 0, 0
 
 
-def _pack(path, end, limit, segments):
+def _mask(spans, n: int) -> np.ndarray | None:
+    """Which of n tokens lie in the spans."""
+    if spans is None:
+        return None
+    out = np.zeros(n, bool)
+    for s in spans:
+        if s is not None and s["first"] is not None and s["end"] is not None:
+            out[max(0, s["first"]) : max(0, s["end"])] = True
+    return out
+
+
+def _pack(path, end, limit, segments, loss, with_loss):
+    names = [f.name for f in SCHEMA.fields] + ["loss_tokens"] * with_loss
+
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        packer, rows = Packer(limit, segments), []
+        packer, rows = Packer(limit, segments, loss), []
 
         def emit(found):
-            for (doc, ids, n), start, length, sequence, offset in found:
-                rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, base + sequence, offset))
+            for (doc, before, ids, n, mask), start, length, sequence, offset in found:
+                row = (doc, before + start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, base + sequence, offset)
+                rows.append((*row, length if mask is None else int(mask[start : start + length].sum())) if with_loss else row)
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=names)
             rows.clear()
             return out
 
-        for b in _sub_batches(batches, BATCH_BYTES, True):
-            for doc, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).to_pylist(), path, end)):
-                emit(packer.add((doc, ids, len(ids) // 4), len(ids) // 4))
+        for b in sub_batches(batches, BATCH_BYTES):
+            spans = b.column(2).to_pylist() if with_loss else [None] * b.num_rows
+            for doc, ids, own in zip(b.column(0).to_pylist(), document_ids(b.column(1).to_pylist(), path, end), spans):
+                n = len(ids) // 4
+                mask = _mask(own, n)
+                # What waits holds its own tokens only, never the whole document.
+                for at in range(0, n, limit):
+                    part = ids[4 * at : 4 * (at + limit)]
+                    flags = None if mask is None else mask[at : at + limit]
+                    emit(packer.add((doc, at, part, n, flags), len(part) // 4, flags))
+                if len(rows) > ROWS:
+                    yield batch()
             if rows:
                 yield batch()
         emit(packer.end())
@@ -167,11 +197,23 @@ def _pack(path, end, limit, segments):
     return run
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Rows of an output batch, about.
+ROWS = 10_000
+SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limit: int = LIMIT, segments: int = SEGMENTS, end: int = END) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, path: str | None = None, limit: int = LIMIT, segments: int = SEGMENTS, end: int = END, loss: int | None = None, loss_spans: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``loss_spans`` names a column of token ranges, ``array<struct<first, end>>``:
+    the tokens that bear loss (end exclusive; null: all).  A sequence holds at
+    most ``loss`` of them, and pieces tell theirs in ``loss_tokens``.  Without
+    that column all tokens bear loss, so the third limit is the first.
+    """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pack(path or vocabulary_path(), end, limit, segments), SCHEMA)
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    schema = SCHEMA
+    if loss_spans:
+        cols.append(F.col(f"`{loss_spans}`").cast("array<struct<first: long, end: long>>").alias("spans"))
+        schema = T.StructType([*SCHEMA.fields, T.StructField("loss_tokens", T.LongType())])
+    return docs.select(*cols).mapInArrow(lean(_pack(path or vocabulary_path(), end, limit, segments, loss, bool(loss_spans)), True), schema)

@@ -10,10 +10,14 @@ removed when the driver's Python ends.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ LOCAL_ROOT = "/tmp/checkpoints"
 
 def shared_root(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or LOCAL_ROOT).rstrip("/")
 
 
@@ -36,8 +42,51 @@ def forget() -> None:
         table.clear()
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: workers are reused, and stages differ in what they need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run, keeps_tables: bool = False):
+    """The task function ``run`` of ``mapInArrow``: tables that it does not use go first, free memory goes back at its end."""
+
+    def task(batches):
+        if not keeps_tables:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 #: Bytes of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
 ARROW_BYTES = 8 << 20
+#: Bytes of text that a task works on at a time.
+PART_BYTES = 1 << 22
+
+
+def sub_batches(batches, most: int = PART_BYTES):
+    """Batches cut where their strings reach about ``most`` bytes (one long text may exceed it)."""
+    for b in batches:
+        size = np.full(b.num_rows, 8, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+                size += pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+#: Settings of the workers' C library: few arenas, so that what one thread frees another can use.
+WORKER_SETTINGS = {"MALLOC_ARENA_MAX": "2"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -47,6 +96,8 @@ def prepare(spark: SparkSession) -> None:
     if now and not 0 < int(now.rstrip("b")) <= ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
     env = spark.sparkContext.environment
+    for name, value in WORKER_SETTINGS.items():
+        env.setdefault(name, value)
     now = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if _PACKAGE_ROOT not in now.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_PACKAGE_ROOT, now) if x)
@@ -84,6 +135,7 @@ class Workspace:
 
     def release(self) -> None:
         """Lets Spark's cleaner remove shuffle files that no live plan refers to."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def _end(self) -> None:

@@ -4,7 +4,8 @@ Long texts are split at safe boundaries: between a character that is not white
 space and a white-space character.  The tokenizer's own pre-tokenization always
 breaks there, and its special strings hold no white space, so ids of the pieces
 side by side are the ids of the text.  Pieces repeat, so each worker encodes a
-piece once and keeps a bounded table; batches are cut by bytes, not by rows.
+piece once and keeps a table bounded by bytes; batches are cut by bytes, not by
+rows.
 
 Defined results: null text is the empty text: no tokens.  Rows are never
 merged; an empty table gives an empty result; other columns are ignored.
@@ -15,20 +16,22 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import _sub_batches
-from .store import KEPT, prepare
+from .store import KEPT, lean, prepare, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of one generation of a worker's table: some 170 MB for both at most.
-TABLE = 400_000
+#: Bytes, with Python's own, of one generation of a worker's table; and of the longest piece that it keeps.
+TABLE_BYTES, LONGEST = 16 << 20, 256
+#: Bytes of a dictionary's place for an entry, at most.
+PLACE_BYTES = 110
 #: Bytes of text handled at a time.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 OVER = 512
 
 #: White space as the tokenizer's pattern has it: Python's, without the four separators U+001C to U+001F.
@@ -92,22 +95,28 @@ def ranked(path: str):
 
 
 class Table(dict):
-    """piece -> value, learnt on first use, in two generations: a full table becomes the old one, and what is still used moves over."""
+    """piece -> value, learnt on first use, in two generations: a full table becomes the old one, and what is still used moves over.
+
+    A generation is full at ``TABLE_BYTES``, whatever the pieces; one piece of a
+    text without white space may be very long, and such are never kept.
+    """
 
     def __init__(self, path: str, value):
         super().__init__()
-        self.value, self.old, self.encode = value, {}, tokenizer(path).encode
+        self.value, self.old, self.encode, self.bytes = value, {}, tokenizer(path).encode, 0
         fast = ranked(path)
         self.one, self.special = (fast[0].encode_ordinary, fast[1]) if fast else (None, ())
 
     def __missing__(self, piece: str):
-        if len(self) >= TABLE:
-            self.old = dict(self)
-            self.clear()
         found = self.old.get(piece)
         if found is None:
             found = self._learn(piece)
-        self[piece] = found
+        if len(piece) <= LONGEST:
+            if self.bytes >= TABLE_BYTES:
+                self.old, self.bytes = dict(self), 0
+                self.clear()
+            self.bytes += getsizeof(piece) + getsizeof(found) + PLACE_BYTES
+            self[piece] = found
         return found
 
     def _learn(self, piece: str):
@@ -138,7 +147,7 @@ def pieces(text: str | None) -> list[str]:
 def _counts(path: str, over: int):
     def run(batches):
         known = table(path, "count")
-        for b in _sub_batches(batches, BATCH_BYTES, True):
+        for b in sub_batches(batches, BATCH_BYTES):
             cut = [pieces(t) for t in b.column(1).to_pylist()]
             n = [sum(map(known.__getitem__, c)) for c in cut]
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
@@ -151,7 +160,7 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; a map over the scan, no shuffle."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_counts(path or vocabulary_path(), over), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(lean(_counts(path or vocabulary_path(), over), True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def document_ids(texts: list[str | None], path: str, end: int | None) -> list[bytes]:
