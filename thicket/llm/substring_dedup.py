@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jaccard_join import _sub_batches
-from .store import Workspace, passes, pick, runtime_filter
+from .store import Workspace, lean, passes, pick, runtime_filter, sub_batches
 
 WIDTH = 35
 
@@ -66,7 +65,7 @@ def _anchors(short: np.ndarray, n_words: int, width: int, base: int) -> tuple[np
 def _unique_texts(batches):
     """Per batch: (key, word hashes, first or second meeting) of the texts that the task meets."""
     seen: dict[bytes, int] = {}
-    for b in _sub_batches(batches):
+    for b in sub_batches(batches):
         texts = b.column(0)
         raw, offsets = W.buffers(texts)
         keys = [hashlib.md5(raw[offsets[i] : offsets[i + 1]]).digest() for i in range(len(offsets) - 1)]
@@ -86,7 +85,7 @@ def _counted(values: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.minimum(c, 2).astype(np.int64))], names=["k", "c"])
 
 
-def _level(find, most: int = 4_000_000):
+def _level(find, most: int = 1_500_000):
     """Rows (k, c) of the windows that ``find`` returns, summed over pieces of a task."""
 
     def run(batches):
@@ -260,26 +259,27 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ws = Workspace(docs.sparkSession, "substring")
     base = base_width(width)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    repeats = lambda find: texts.mapInArrow(_level(find), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 1").select("k")
+    repeats = lambda find: texts.mapInArrow(lean(_level(find)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 1").select("k")
     level1 = runtime_filter(repeats(_first(width, base)))
     level2 = runtime_filter(repeats(_second(width, base, level1)))
     ws.release()
-    rows = ws.save(texts.mapInArrow(_third(width, base, level1, level2), "anchor long, s1 long, s2 long, text binary, first int, last int, c int"), "anchors")
+    rows = ws.save(texts.mapInArrow(lean(_third(width, base, level1, level2)), "anchor long, s1 long, s2 long, text binary, first int, last int, c int"), "anchors")
     count = ws.save(rows.where("anchor is not null").groupBy("s1", "s2", "anchor").agg(F.sum("c").alias("times")), "spans")
     sure = rows.where("anchor is null").select("text", "first", "last")
     whole = rows.where("anchor is not null and text is not null").join(count.where("times > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("text", "first", "last")
     # Anchors under which some span is not repeated while the anchor is: their windows are counted singly.
-    mixed = count.groupBy("anchor").agg(F.min("times").alias("least"), F.sum("times").alias("all")).where("least = 1 and all > 1").select("anchor")
+    # Written first: the join then meets plain exchanges, and an anchor with many spans can be split.
+    mixed = ws.save(count.groupBy("anchor").agg(F.min("times").alias("least"), F.sum("times").alias("all")).where("least = 1 and all > 1").select("anchor"), "mixed")
     alone = count.where("times = 1").join(mixed, "anchor", "left_semi").select("anchor", "s1")
     alone = ws.save(alone, "alone")
-    single = texts.mapInArrow(_single(width, base, level1, level2, runtime_filter(alone.select(F.col("anchor").alias("k"))), runtime_filter(alone.select(F.col("s1").alias("k")))), "w1 long, w2 long, text binary, first int, c int")
+    single = texts.mapInArrow(lean(_single(width, base, level1, level2, runtime_filter(alone.select(F.col("anchor").alias("k"))), runtime_filter(alone.select(F.col("s1").alias("k"))))), "w1 long, w2 long, text binary, first int, c int")
     single = ws.save(single, "single")
     ws.release()
     seen = single.groupBy("w1", "w2").agg(F.sum("c").alias("times")).where("times > 1").select("w1", "w2")
     part = single.where("text is not null").join(seen, ["w1", "w2"], "left_semi").select("text", "first", F.col("first").alias("last"))
     spans = sure.union(whole).union(part).groupBy("text").agg(F.collect_set(F.struct(F.col("first"), (F.col("last") + width).alias("end"))).alias("spans"))
     out = ws.save(spans.select(F.col("text").alias("key"), "spans"), "found")
-    ws.drop("anchors", "spans", "alone", "single")
+    ws.drop("anchors", "spans", "mixed", "alone", "single")
     return out
 
 
@@ -312,7 +312,7 @@ def _masked(texts, spans):
 
 
 def _digest(batches):
-    for b in _sub_batches(batches):
+    for b in sub_batches(batches):
         n, gone, sha = [], [], []
         for words, mask in _masked(b.column(1), b.column(2)):
             n.append(len(words))
@@ -325,12 +325,12 @@ def _digest(batches):
 def dedup_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(docs, width).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs, width).mapInArrow(lean(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut(at: int, names: list[str]):
     def run(batches):
-        for b in _sub_batches(batches):
+        for b in sub_batches(batches):
             texts, out = b.column(at), []
             for i, (words, mask) in enumerate(_masked(texts, b.column(b.num_columns - 1))):
                 out.append(texts[i].as_py() if mask is None else b" ".join(words[j] for j in np.flatnonzero(~mask)).decode())
@@ -345,4 +345,4 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     at = docs.columns.index("text")
     plain = docs.withColumn("text", F.col("text").cast("string"))
     spread = with_spans(plain, width)
-    return spread.toDF(*[f"c{i}" for i in range(len(spread.columns))]).mapInArrow(_cut(at, plain.columns), plain.schema)
+    return spread.toDF(*[f"c{i}" for i in range(len(spread.columns))]).mapInArrow(lean(_cut(at, plain.columns)), plain.schema)
