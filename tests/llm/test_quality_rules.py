@@ -58,3 +58,57 @@ def test_kept_rows_and_columns(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert judge(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
+def test_scores_threshold_and_verdict(spark):
+    """Counts, ratios, scores, threshold and verdict anew, a document at a time."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from thicket.llm import quality_rules as Q
+    from thicket.llm import words as W
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pylist()] + ODD[:-1] + [(77001, "z" * 50_000)]
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+
+    def half(i):
+        return int(W.mix(np.array([i]).view(np.uint64))[0]) & 1
+
+    def grams(text):
+        b = (text or "").encode()
+        packed = np.array([int.from_bytes(b[i : i + 4], "big") for i in range(len(b) - 3)], np.uint64)
+        return Counter((W.mix(packed) & np.uint64(Q.BUCKETS - 1)).tolist())
+
+    bags = [grams(t) for _, t in rows]
+    corpus, target = Counter(), Counter()
+    for (i, _), bag in zip(rows, bags):
+        corpus.update(bag)
+        if i in trusted and half(i):
+            target.update(bag)
+    n, m = sum(corpus.values()), sum(target.values())
+    weight = lambda g: math.log((target[g] + 1) / (m + Q.BUCKETS)) - math.log((corpus[g] + 1) / (n + Q.BUCKETS))
+    scores = [sum(k * weight(g) for g, k in bag.items()) / (sum(bag.values()) + Q.PRIOR_GRAMS) for bag in bags]
+    held_out = [s for (i, _), s in zip(rows, scores) if i in trusted and not half(i)]
+    assert m and len(held_out) > 5
+    threshold = float(np.quantile(held_out, Q.QUANTILE)) - Q.MARGIN
+    got = sorted(judge(spark.createDataFrame(rows, SCHEMA).repartition(3), labels).collect(), key=lambda r: (str(r.doc_id), r.n_words, r.word_chars, r.score))
+    want = sorted(((i, *base(t), s) for (i, t), s in zip(rows, scores)), key=lambda x: (str(x[0]), x[1], x[2], x[-1]))
+    for r, (i, words, *_, failed, s) in zip(got, want, strict=True):
+        assert (r.doc_id, r.n_words, r.base_failed) == (i, words, failed) and abs(r.score - s) < 1e-8
+        assert r.kept == (not failed and s >= threshold) or abs(s - threshold) < 1e-8
+
+
+def test_a_score_does_not_depend_on_its_neighbours():
+    import numpy as np
+    import pyarrow as pa
+
+    from thicket.llm import quality_rules as Q
+
+    weights = np.random.default_rng(3).normal(size=Q.BUCKETS)
+    texts = ["", "abc", "abcd", None, "some words of a text " * 50, "é" * 9, "x" * 5000]
+    alone = [Q.scores(pa.array([t], pa.string()), weights)[0] for t in texts]
+    assert Q.scores(pa.array(texts, pa.string()), weights).tolist() == alone

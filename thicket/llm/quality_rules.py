@@ -5,7 +5,7 @@ the whole corpus.  A document's score is the sum over its n-grams of
 ``log p_trusted - log p_corpus``, divided by their number plus a constant that
 draws very short texts to zero.  It is kept when the score reaches a threshold:
 a fixed low quantile of the scores of trusted documents that the model has not
-seen, less a margin.  Half of the trusted documents, by hash of their id, fit
+seen, less a margin; a score equal to it is kept.  Half of the trusted documents, by hash of their id, fit
 the model, the other half sets the threshold.  Everything is deterministic.
 
 Corpus counts cover every byte of every document; tasks send one row for each
@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jaccard_join import _sub_batches
-from .store import prepare
+from .store import lean, prepare, sub_batches
 
 GRAM = 4
 BUCKETS = 1 << 18
@@ -71,7 +70,7 @@ def _per_text(raw, offsets, most=1 << 20):
 def _count(trusted):
     def run(batches):
         corpus, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in _sub_batches(batches):
+        for b in sub_batches(batches):
             raw, offsets = W.buffers(b.column(1))
             good = _among(b.column(0), trusted.value)
             for at, to, part, offs in _per_text(raw, offsets):
@@ -112,9 +111,11 @@ def scores(texts: pa.Array, weights: np.ndarray | None) -> np.ndarray:
         return out
     for at, to, part, offs in _per_text(raw, offsets):
         lo, hi = _ranges(offs)
-        total = np.concatenate([[0.0], np.cumsum(weights[_grams(part)])])
-        lo, hi = np.minimum(lo, len(total) - 1), np.minimum(hi, len(total) - 1)
-        out[at:to] = (total[hi] - total[lo]) / (hi - lo + PRIOR_GRAMS)
+        some = np.flatnonzero(hi > lo)
+        if len(some):  # each text is summed alone, so its score does not depend on its neighbours
+            each = np.append(weights[_grams(part)], 0.0)
+            total = np.add.reduceat(each, np.stack([lo[some], hi[some]], axis=1).ravel())[::2]
+            out[at + some] = total / (hi[some] - lo[some] + PRIOR_GRAMS)
     return np.round(out, 9)
 
 
@@ -163,7 +164,7 @@ class QualityModel:
             ids = np.sort(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).toArrow().column(0).to_numpy())
         half = (W.mix(ids.view(np.uint64)) & np.uint64(1)).astype(bool)
         sample, held_out = spark.sparkContext.broadcast(ids[half]), spark.sparkContext.broadcast(ids[~half])
-        counts = plain.mapInArrow(_count(sample), "bucket int, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
+        counts = plain.mapInArrow(lean(_count(sample)), "bucket int, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
         corpus, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         corpus[counts.column("bucket").to_numpy()] = counts.column("corpus").to_numpy()
         target[counts.column("bucket").to_numpy()] = counts.column("target").to_numpy()
@@ -174,11 +175,11 @@ class QualityModel:
             self.weights = weights = spark.sparkContext.broadcast(ratio)
 
             def own(batches):
-                for b in _sub_batches(batches):
+                for b in sub_batches(batches):
                     ok = _among(b.column(0), held_out.value)
                     yield pa.RecordBatch.from_arrays([pa.array(scores(b.column(1).filter(pa.array(ok)), weights.value))], names=["score"])
 
-            low = plain.mapInArrow(own, "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+            low = plain.mapInArrow(lean(own), "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
             self.threshold = -np.inf if low is None else low - MARGIN
 
     def judged(self, docs: DataFrame) -> DataFrame:
@@ -186,14 +187,14 @@ class QualityModel:
         weights, threshold = self.weights, self.threshold
 
         def run(batches):
-            for b in _sub_batches(batches):
+            for b in sub_batches(batches):
                 c, score = base_counts(b.column(1)), scores(b.column(1), weights.value)
                 failed = base_failed(c)
                 cols = [b.column(0), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *COUNTS, "score", "base_failed", "kept"])
 
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return plain.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double, base_failed boolean, kept boolean")
+        return plain.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double, base_failed boolean, kept boolean")
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are kept, with all their columns."""
@@ -201,11 +202,11 @@ class QualityModel:
         at = docs.columns.index("text")
 
         def run(batches):
-            for b in _sub_batches(batches):
+            for b in sub_batches(batches):
                 text = b.column(at)
                 yield b.filter(pa.array(~base_failed(base_counts(text)) & (scores(text, weights.value) >= threshold)))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
