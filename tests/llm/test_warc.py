@@ -73,3 +73,26 @@ def test_merge_of_many_runs(spark):
     df = spark.createDataFrame(rows, CAPTURES).repartition(6)
     merged = [(r.url_key, r.time, r.page_id) for r in capture_index(df, ws).collect()]
     assert merged == sorted(merged) and len(merged) == 2000
+
+
+def test_a_column_of_times_and_odd_values(spark):
+    rows = [(1, "http://a/x", "p" * 200, "12"), (2, "http://a/x", "q", None), (3, None, None, "not a time"), (4, "http://a/x", "r", "999999999999999")]
+    df = spark.createDataFrame(rows, SCHEMA + ", fetched_at string")
+    plain = [r[:3] for r in rows]
+    assert got(archive_pages(df)) == want(plain)  # the column means nothing unless it is named
+    index = archive_pages(df, time="fetched_at")
+    assert got(index) == want(plain)
+    assert {r.page_id: r.time for r in index.collect()} == {1: "19700101000012", 2: "20200101000002", 3: "20200101000003", 4: "20200101000004"}
+
+
+def test_long_payloads_make_small_files(spark, monkeypatch):
+    from thicket.llm import warc
+
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000, 10_000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rows = [(i, f"http://a/{i}", str(i % 9) * (1 + i * i % 30_000)) for i in range(300)] + [(999, "http://a/z", "z" * 90_000)]
+    ws = Workspace(spark, "test")
+    write_archives(spark.createDataFrame(rows, SCHEMA).repartition(2), ws.path("a"), ws)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(ws.path("a")).select("length").collect()]
+    assert max(sizes) < 100_000 and sum(s > 60_000 for s in sizes) == 1
+    assert got(read_archives(spark, ws.path("a"))) == want(rows)

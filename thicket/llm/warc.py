@@ -6,41 +6,65 @@
   Pages with equal payloads of at least ``MIN_REVISIT`` bytes are written once,
   as the response of the smallest page_id; the others are revisit records.
 * ``read_archives`` parses the files by Content-Length and computes lengths and
-  digests from the payload bytes.  A file holds ``RECORDS`` records at most.
+  digests from the payload bytes.  Records go to files by classes of their size,
+  so a file holds about ``FILE_BYTES`` of payloads at most, or one longer record;
+  the longest record that can be read back is what a Spark binary value holds
+  (2 GB).
 * ``capture_index`` makes capture histories: the captures of each archive are
   sorted and written as a run; runs are dealt out by ranges of (url key, time,
-  page) and each task merges the slices it gets by a loser tree.  A hot url is
-  divided among tasks, as time and page take part in the ranges.
+  page), about ``SLICE_ROWS`` rows to a task however many there are, and each task
+  merges the slices it gets by a loser tree that reads every run a few rows at a
+  time.  A hot url is divided among tasks, as time and page take part in the
+  ranges.
 
 Defined results: a null html is an empty payload; a null url has no target line
 and an empty url key; line ends in urls are percent-encoded.  A null page_id is
 written without an identifier and is never a response that others refer to; it
 is a revisit if its payload has one.  Rows that repeat a response's page_id are
 responses too.  An empty table makes an empty archive.  Other columns are
-ignored.
+ignored, unless one is named as the time of the captures: seconds or a timestamp,
+null or unreadable values take the default time.
 """
 
 from __future__ import annotations
 
-import datetime
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Workspace, prepare
+from .store import Workspace, lean, prepare
 
 MIN_REVISIT = 100
-RECORDS = 4096
+#: Bytes of payloads in a file, about; and the greatest sizes of a class of records (beyond the last: one record a file).
+FILE_BYTES = 64 << 20
+CLASSES = (16 << 10, 256 << 10, 4 << 20)
+#: Captures that one task merges, about.
+SLICE_ROWS = 250_000
 END = "\r\n\r\n"
-#: The time of page 0; page n is n seconds later unless the table has a time column.
+#: The time of page 0; page n is n seconds later unless a time column is named.
 EPOCH = 1577836800
+#: Times are written with four digits of a year.
+LAST_TIME = 253402300799
 
 
-def _records(pages: DataFrame, ws: Workspace, min_revisit: int) -> DataFrame:
-    time = F.col("fetched_at").cast("long") if "fetched_at" in pages.columns else F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9))
+def _time(pages: DataFrame, column: str | None):
+    default = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(10**9))
+    if column is None:
+        return default
+    kind = pages.schema[column].dataType.typeName()
+    given = F.col(f"`{column}`")
+    given = given.cast("timestamp").cast("long") if kind in ("date", "timestamp", "timestamp_ntz") else F.expr(f"try_cast(`{column}` as bigint)")
+    return F.when(given.between(0, LAST_TIME), given).otherwise(default)
+
+
+def _records(pages: DataFrame, ws: Workspace, min_revisit: int, time: str | None) -> DataFrame:
+    """(size_class, value) of every record."""
+    time = _time(pages, time)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"), time.alias("time"))
     plain = plain.withColumns({"size": F.octet_length("payload"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
     shared = plain.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("refers"), F.count(F.lit(1)).alias("k")).where("k > 1 and refers is not null").select("digest", "refers")
@@ -63,16 +87,25 @@ def _records(pages: DataFrame, ws: Workspace, min_revisit: int) -> DataFrame:
         line("Content-Length", F.when(revisit, 0).otherwise(F.col("size")).cast("string")),
         F.lit("\r\n"),
     )
-    return joined.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
+    stored = F.when(revisit, 0).otherwise(F.col("size"))
+    return joined.select(sum((stored > c).cast("int") for c in CLASSES).alias("size_class"), F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, ws: Workspace, min_revisit: int = MIN_REVISIT, compression: str = "none") -> None:
+def write_archives(pages: DataFrame, path: str, ws: Workspace, min_revisit: int = MIN_REVISIT, compression: str = "none", time: str | None = None) -> None:
     spark = pages.sparkSession
     before = spark.conf.get("spark.sql.session.timeZone")
     if before != "UTC":  # record times are UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        _records(pages, ws, min_revisit).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", compression).mode("overwrite").text(path)
+        records = _records(pages, ws, min_revisit, time)
+        longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+        mode = "overwrite"
+        for k, most in enumerate((*CLASSES, FILE_BYTES)):
+            if k and longest <= CLASSES[k - 1]:
+                break
+            of_class = records if longest <= CLASSES[0] else records.where(F.col("size_class") == k)
+            of_class.select("value").write.option("lineSep", END).option("maxRecordsPerFile", FILE_BYTES // most).option("compression", compression).mode(mode).text(path)
+            mode = "append"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 
@@ -135,7 +168,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives under a path."""
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parsed, CAPTURES)
+    return files.mapInArrow(lean(_parsed), CAPTURES)
 
 
 class LoserTree:
@@ -176,23 +209,35 @@ class LoserTree:
             self._play(winner)
 
 
+def _items(table: pa.Table, first: int, last: int, step: int = 512):
+    """The merge keys of a run, rows first to last of the table, a few at a time."""
+    for at in range(first, last, step):
+        part = table.slice(at, min(step, last - at))
+        for i, (key, time, page) in enumerate(zip(*(part.column(c).to_pylist() for c in ("url_key", "time", "page_id")))):
+            yield key, time, page is not None, page or 0, at + i
+
+
 def _merge(batches):
-    """Slices of sorted runs -> one sorted stream.  Where a slice is out of order a new run starts."""
+    """Slices of sorted runs, one after another -> one sorted stream."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    table = pa.Table.from_batches(got)
-    names = table.column_names
-    cols = {n: table.column(n).to_pylist() for n in ("url_key", "time", "page_id", "run")}
-    runs: dict[str, list[list[tuple]]] = {}
-    for i, (key, time, page, run) in enumerate(zip(*cols.values())):
-        item = (key, time, -1 if page is None else page, i)
-        own = runs.setdefault(run, [[]])
-        if own[-1] and own[-1][-1][:3] > item[:3]:
-            own.append([])
-        own[-1].append(item)
-    order = pa.array([x[3] for x in LoserTree([r for own in runs.values() for r in own])])
-    yield from table.take(order).select([n for n in names if n != "run"]).combine_chunks().to_batches(max_chunksize=10_000)
+    table = pa.Table.from_batches(got).combine_chunks()
+    run = pa.compute.dictionary_encode(table.column("run")).combine_chunks().indices.to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+    table, order = table.drop_columns(["run"]), []
+
+    def ordered():
+        out = table.take(pa.array(order)).combine_chunks().to_batches()
+        order.clear()
+        return out
+
+    for item in LoserTree([_items(table, a, z) for a, z in zip(cuts, cuts[1:])]):
+        order.append(item[-1])
+        if len(order) == 10_000:
+            yield from ordered()
+    if order:
+        yield from ordered()
 
 
 def capture_index(captures: DataFrame, ws: Workspace, name: str = "runs") -> DataFrame:
@@ -200,13 +245,15 @@ def capture_index(captures: DataFrame, ws: Workspace, name: str = "runs") -> Dat
     keys = ["url_key", "time", "page_id"]
     runs = ws.save(captures.sortWithinPartitions(*keys), name)
     named = runs.withColumn("run", F.input_file_name())
-    return named.repartitionByRange(*keys).mapInArrow(_merge, CAPTURES)
+    # A task's rows are bounded by dealing them to as many tasks as they need, never fewer than the session asks for.
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // SLICE_ROWS))
+    return named.repartitionByRange(tasks, *keys).sortWithinPartitions("run", *keys).mapInArrow(lean(_merge), CAPTURES)
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
-    """Writes pages as WARC, reads the archives back, and returns the merged index of all captures."""
+def archive_pages(pages: DataFrame, time: str | None = None) -> DataFrame:
+    """Writes pages as WARC, reads the archives back, and returns the merged index of all captures.  time: the column of capture times."""
     ws = Workspace(pages.sparkSession, "warc")
-    write_archives(pages, ws.path("archives"), ws)
+    write_archives(pages, ws.path("archives"), ws, time=time)
     index = capture_index(read_archives(pages.sparkSession, ws.path("archives")), ws)
     ws.drop("archives", "shared")
     return index
