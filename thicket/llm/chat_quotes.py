@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking.
 
 1. Parse: a line that begins with ``>`` marks is quoted, one level per mark
-   (blanks between marks allowed).  Consecutive quoted lines of one level are a
+   (blanks between marks allowed); no other quote mark is known.  Consecutive quoted lines of one level are a
    passage.  A line that ends in ``wrote:`` right before a quote is an
    attribution and goes with it.
 2. Hash: lines and passages are normalised (lower case, white space runs to one
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, lean
 
 _QUOTE = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$", re.S)
 _ATTRIBUTION = re.compile(r"wrote:[ \t]*$")
@@ -117,7 +117,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, thread, turn, role, reply_to, depth, n_quoted, n_linked, text; in reply order."""
     ws = Workspace(messages.sparkSession, "quotes")
     plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = ws.save(plain.mapInArrow(_parse, PARSED), "parsed")
+    parsed = ws.save(plain.mapInArrow(lean(_parse), PARSED), "parsed")
     quotes = parsed.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("quotes")).distinct()
     own = parsed.where("turn is not null").select("conv_id", "turn", F.explode("own").alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
     linked = quotes.join(own, ["conv_id", "key"]).where("origin < turn")
