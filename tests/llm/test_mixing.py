@@ -92,3 +92,13 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s", 7, "x", 1, 2, 3)], SCHEMA + ", n_tokens int, epoch string, blocks int, rest int, passes int")
     out = mix(df)
     assert out.columns[:8] == df.columns and [tuple(r)[:8] for r in out.collect()] == [(1, "a b", "s", 7, "x", 1, 2, 3)]
+
+
+def test_columns_named_like_the_new_ones(spark):
+    rows = [(i, "w " * (i % 9 + 1), "ab"[i % 3 == 0], i, "x", i, 0.5, i) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + ", epoch int, block string, n_tokens int, mix_order double, __source int")
+    out = mix(df)
+    assert out.columns == [*df.columns, "mix_n_tokens", "mix_epoch", "mix_block", "mix_mix_order"]
+    assert {tuple(r)[:8] for r in out.collect()} == set(rows)
+    plain = mix(df.select("doc_id", "text", "source")).select("doc_id", "epoch", "mix_order")
+    assert sorted(map(tuple, out.select("doc_id", "mix_epoch", "mix_mix_order").collect())) == sorted(map(tuple, plain.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .bm25_search import search
 from .chat_quotes import link_quotes
 from .jaccard_join import jaccard_classes
-from .mixing import mix
+from .mixing import OWN, mix
 from .packing import pack_documents
 from .quality_rules import judge
 from .substring_dedup import dedup_digest
@@ -34,7 +34,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "mix_order")
+    out = mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", *[F.col(c).alias(n) for c, n in zip(out.columns[-len(OWN) :], OWN)])
 
 
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
