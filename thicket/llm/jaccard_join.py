@@ -15,7 +15,7 @@ with that union, and open only groups whose bound reaches what a link needs.
 3. Groups: documents with the same smallest shared token, dealt into parts of
    about ``GROUP`` members.  Matrix rows (token, group) carry the range of set
    sizes; a (document, group) pair is a candidate when sizes and positions
-   allow a link.
+   allow a link.  A token's rows meet once, in one task.
 4. The bound: per group, bit rows of its members and of their union (tokens fold
    into columns) limit the overlap with each query; most candidates end here,
    for a few bytes each.  Groups that are left open: members' whole sets come
@@ -26,6 +26,14 @@ with that union, and open only groups whose bound reaches what a link needs.
    such a token is opened like in 3 and 4, with parts of components as groups;
    within a component no comparison can change the result.
 
+The result is the classes.  Every link between two classes is found, so they are
+exact; links inside a class beyond those that span it are not listed or counted,
+as a group of near copies has as many of them as the square of its size.
+
+Texts are known by a 64-bit hash (``tk``); of each set one text is the sample
+that later scans look for, so those scans shingle few texts.  Texts whose hashes
+collide are all looked at: sets are told apart by their fingerprints.
+
 Defined results: null or empty text (no words): n_shingles 0, linked with
 nothing, component_id is the row's own doc_id.  Rows with a null doc_id keep
 null unless a linked row has an id.  Repeated rows are each returned.  An empty
@@ -45,7 +53,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
-from .store import Workspace, forget, passes, pick, runtime_filter
+from .store import Workspace, lean, passes, pick, runtime_filter, sub_batches
 
 WIDTH = 5
 SIMILARITY = 80  # percent
@@ -79,23 +87,12 @@ def fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _sub_batches(batches, most: int = 1 << 23, keeps_tables: bool = False):
-    """Batches of about ``most`` bytes of text at most (one long text may exceed it)."""
-    if not keeps_tables:
-        forget()
-    for b in batches:
-        size, at = max(1, b.nbytes), 0
-        step = max(1, int(b.num_rows * most / size)) if b.num_rows else 1
-        while at < b.num_rows:
-            yield b.slice(at, step)
-            at += step
-
-
 def _profile(batches):
-    """Rows (doc_id, n, fp); and (token, times) of tokens that several distinct sets of the task share."""
+    """Rows (doc_id, n, fp, tk); and (token, times) of tokens that several distinct sets of the task share."""
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
     size = 0
+    names = ["doc_id", "n", "fp", "tk", "token", "times"]
 
     def flush():
         nonlocal size
@@ -106,9 +103,9 @@ def _profile(batches):
         size = 0
         many = times > 1
         k = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(token[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["doc_id", "n", "fp", "token", "times"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(token[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=names)
 
-    for b in _sub_batches(batches):
+    for b in sub_batches(batches):
         n, fp = [], []
         for tokens in shingle_sets(b.column(1)):
             n.append(len(tokens))
@@ -118,8 +115,8 @@ def _profile(batches):
                 seen.add(key)
                 held.append(tokens)
                 size += len(tokens)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "fp", "token", "times"])
-        if size > 6_000_000:
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), b.column(2), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+        if size > 3_000_000:
             yield flush()
     if (last := flush()) is not None:
         yield last
@@ -148,9 +145,10 @@ def _short(key: bytes) -> int:
 def _postings(frequent, place, counts, percent):
     def run(batches):
         seen: set[bytes] = set()
-        for b in _sub_batches(batches):
+        texts: set[int] = set()
+        for b in sub_batches(batches):
             token, fid, meta = [], [], []
-            for tokens in shingle_sets(b.column(0)):
+            for tokens in shingle_sets(_unseen(b, texts).column(0)):
                 if not len(tokens) or (key := fingerprint(tokens)) in seen:
                     continue
                 seen.add(key)
@@ -198,9 +196,22 @@ def _chain(batches):
         yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(hot[i]), pa.array(fid[i]), pa.array(meta[i]), pa.array(fid[np.minimum(i + 1, len(fid) - 1)], mask=~follows)], names=["token", "hot", "fid", "meta", "next"])
 
 
+def _unseen(b, texts: set[int]):
+    """The rows (text, tk) of a batch whose text the task has not met yet."""
+    new = np.zeros(b.num_rows, bool)
+    for i, k in enumerate(b.column(1).to_pylist()):
+        if k not in texts:
+            texts.add(k)
+            new[i] = True
+    return b if new.all() else b.filter(pa.array(new))
+
+
 def _wanted_sets(b, seen, wanted):
-    for tokens in shingle_sets(b.column(0)):
-        if len(tokens) and (key := fingerprint(tokens)) not in seen and passes(wanted.value, np.array([_short(key)], np.int64).view(np.uint64))[0]:
+    ok = passes(wanted.value, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+    if not ok.any():
+        return
+    for tokens in shingle_sets(b.filter(pa.array(ok)).column(0)):
+        if len(tokens) and (key := fingerprint(tokens)) not in seen:
             seen.add(key)
             yield key, tokens
 
@@ -210,7 +221,7 @@ def _sets(wanted):
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in _sub_batches(batches):
+        for b in sub_batches(batches):
             got = list(_wanted_sets(b, seen, wanted))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k, _ in got], pa.int64()), pa.array([k for k, _ in got], pa.binary()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["fid", "fp", "tokens"])
@@ -218,6 +229,50 @@ def _sets(wanted):
     return run
 
 
+def _proposed(percent: int, most: int = 200_000):
+    """Rows (token, gid, fid, meta) of cold tokens, in order of tokens -> candidates (gid, fid): the matrix row of a token and group allows a link.
+
+    A token has ``HOT`` rows at most, so what a task holds is bounded.
+    """
+
+    def candidates(token, gid, fid, meta):
+        order = np.lexsort((gid, token))
+        token, gid, fid, n, pos = token[order], gid[order], fid[order], meta[order] >> 32, meta[order] & (2**31 - 1)
+        new_token = np.concatenate([[True], token[1:] != token[:-1]])
+        new_row = new_token | np.concatenate([[True], gid[1:] != gid[:-1]])
+        first = np.flatnonzero(new_row)
+        least_n, most_n, least_pos = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(pos, first)
+        alone = np.diff(np.append(first, len(token))) == 1
+        row = np.cumsum(new_row) - 1  # of the matrix
+        last = np.searchsorted(first, np.append(np.flatnonzero(new_token), len(token)))[np.cumsum(new_token)]  # row after the token's last
+        # Each document asks its own row and those after it; its own only if it is not alone there.
+        start = row + alone[row]
+        width = last - start
+        doc = np.repeat(np.arange(len(token)), width)
+        ask = np.arange(len(doc)) + np.repeat(start - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+        dn, lo, hi = n[doc], least_n[ask], most_n[ask]
+        least = np.maximum(lo, -(-percent * dn // 100))  # the smallest member that may link asks least
+        ok = (100 * np.minimum(dn, hi) >= percent * np.maximum(dn, lo)) & (np.minimum(dn - pos[doc], hi - least_pos[ask]) >= -(-percent * (dn + least) // (100 + percent)))
+        pairs = np.unique(np.stack([gid[first[ask[ok]]], fid[doc[ok]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["gid", "fid"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            size += b.num_rows
+            if size >= most:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last token may go on
+                held, size = [[c[whole:] for c in cols]], size - whole
+                if whole:
+                    yield candidates(*(c[:whole] for c in cols))
+        if size:
+            yield candidates(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
 def _row(tokens: np.ndarray) -> bytes:
     """A row of the token-group matrix for one set: tokens fold into twice as many columns, or a little more."""
     columns = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
@@ -231,7 +286,7 @@ def _rows(wanted):
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in _sub_batches(batches):
+        for b in sub_batches(batches):
             got = list(_wanted_sets(b, seen, wanted))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k, _ in got], pa.int64()), pa.array([len(t) for _, t in got], pa.int64()), pa.array([_row(t) for _, t in got], pa.binary())], names=["fid", "n", "bits"])
@@ -371,17 +426,17 @@ def _dealt(members: DataFrame, queries: DataFrame, data: DataFrame, columns: lis
     return rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "role")
 
 
-def links(docs: DataFrame, members: DataFrame, queries: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
+def links(texts: DataFrame, samples: DataFrame, members: DataFrame, queries: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
     """Bounds, then opens groups.  members: (gid, fid); queries: (gid, fid), both distinct -> links (u, v)."""
-    texts = pick(docs, "text")
-    key = lambda t: t.select(F.col("fid").alias("k"))
+    wanted = lambda *t: runtime_filter(samples.join(t[0].select("fid").union(t[1].select("fid")).distinct(), "fid", "left_semi").select(F.col("tk").alias("k")))
     used = members.join(queries.select("gid").distinct(), "gid", "left_semi")
-    rows = texts.mapInArrow(_rows(runtime_filter(key(used).union(key(queries)))), "fid long, n long, bits binary").dropDuplicates(["fid", "n", "bits"])
-    left = ws.save(_dealt(used, queries, rows, ["fid", "n", "bits"]).mapInArrow(_bound(percent), "gid long, fid long, is_member boolean"), f"{name}_bound")
+    # Dealt by fid at once: sets that several tasks met become one there, and the joins below find them in place.
+    rows = texts.mapInArrow(lean(_rows(wanted(used, queries))), "fid long, n long, bits binary").repartition("fid").dropDuplicates(["fid", "n", "bits"])
+    left = ws.save(_dealt(used, queries, rows, ["fid", "n", "bits"]).mapInArrow(lean(_bound(percent)), "gid long, fid long, is_member boolean"), f"{name}_bound")
     ws.release()
     members, queries = (left.where(w).select("gid", "fid").distinct() for w in ("is_member", "not is_member"))
-    sets = texts.mapInArrow(_sets(runtime_filter(key(members).union(key(queries)))), "fid long, fp binary, tokens binary").groupBy("fid", "fp").agg(F.first("tokens").alias("tokens"))
-    edges = ws.save(_dealt(members, queries, sets, ["fp", "tokens"]).mapInArrow(_open(percent), "u binary, v binary").distinct(), name)
+    sets = texts.mapInArrow(lean(_sets(wanted(members, queries))), "fid long, fp binary, tokens binary").repartition("fid").groupBy("fid", "fp").agg(F.first("tokens").alias("tokens"))
+    edges = ws.save(_dealt(members, queries, sets, ["fp", "tokens"]).mapInArrow(lean(_open(percent)), "u binary, v binary").distinct(), name)
     ws.drop(f"{name}_bound")
     return edges
 
@@ -393,8 +448,9 @@ def short(fp: str):
 
 def jaccard_classes(docs: DataFrame, percent: int = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, n_shingles, component_id)``, one row per input row; see the module's text."""
-    root = _rooted(docs, percent, frequent)
-    least = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    root, ws = _rooted(docs, percent, frequent)
+    # Written, so that the join below meets two plain exchanges and a hot class can be split.
+    least = ws.save(root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return root.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -402,9 +458,9 @@ def _tagged(at: int, names: list[str]):
     """All columns of each row and the fingerprint of its shingle set (null for no words)."""
 
     def run(batches):
-        for b in _sub_batches(batches):
+        for b in sub_batches(batches):
             fp = [fingerprint(t) if len(t) else None for t in shingle_sets(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "fp"])
 
     return run
 
@@ -413,80 +469,76 @@ def keep_one(docs: DataFrame, percent: int = SIMILARITY, frequent: int = FREQUEN
     """The rows of docs without near duplicates: of each class the row with the smallest doc_id stays.
 
     Rows without words are in no class and stay.  Of rows that repeat the
-    smallest doc_id one stays.  All columns are kept.
+    smallest doc_id one stays: of those with the chosen set the first in the order
+    of all columns that can be ordered.  All columns are kept, whatever their names.
     """
-    root = _rooted(docs, percent, frequent)
+    root, _ = _rooted(docs, percent, frequent)
     # Null ids come last; of one id with several linked texts the first fingerprint stays.
     first = root.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
-    chosen = first.select(F.col("r.fp").alias("__chosen_fp"), F.col("r.doc_id").alias("__chosen_id"))
-    text = docs.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*text.schema.fields, T.StructField("__fp", T.BinaryType())])
-    rows = text.mapInArrow(_tagged(docs.columns.index("text"), docs.columns), schema)
-    kept = rows.where("__fp is not null").join(chosen, (F.col("__fp") == F.col("__chosen_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen_id")))
-    place = F.row_number().over(Window.partitionBy("__chosen_fp", "__chosen_id").orderBy(F.lit(0)))
-    one = kept.withColumn("__place", place).where("__place = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*columns).union(rows.where("__fp is null").select(*columns))
-
-
-def _rooted(docs: DataFrame, percent: int, frequent: int) -> DataFrame:
+    chosen = first.select(F.col("r.fp").alias("chosen_fp"), F.col("r.doc_id").alias("chosen_id"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, of = docs.columns.index("text"), f"c{docs.columns.index('doc_id')}"
+    plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    schema = T.StructType([*plain.schema.fields, T.StructField("fp", T.BinaryType())])
+    rows = plain.mapInArrow(lean(_tagged(at, plain.columns)), schema)
+    kept = rows.where("fp is not null").join(chosen, (F.col("fp") == F.col("chosen_fp")) & F.col(of).cast("long").eqNullSafe(F.col("chosen_id")))
+    order = [F.col(f.name) for f in plain.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))] or [F.lit(0)]
+    one = kept.withColumn("place", F.row_number().over(Window.partitionBy("chosen_fp", "chosen_id").orderBy(*order))).where("place = 1")
+    return one.select(*plain.columns).union(rows.where("fp is null").select(*plain.columns)).toDF(*docs.columns)
+
+
+def _rooted(docs: DataFrame, percent: int, frequent: int) -> tuple[DataFrame, Workspace]:
     """(doc_id, n, fp, root) of every row; root names its class, null for rows without words."""
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = ws.save(docs.mapInArrow(_profile, "doc_id long, n long, fp binary, token long, times long"), "profile")
-    profile = seen.where("times is null").select("doc_id", "n", "fp")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
+    texts = pick(docs, "text", "tk")
+    seen = ws.save(docs.mapInArrow(lean(_profile), "doc_id long, n long, fp binary, tk long, token long, times long"), "profile")
+    profile = seen.where("times is null")
+    samples = ws.save(profile.where("fp is not null").groupBy("fp").agg(F.min("tk").alias("tk")).select(short("fp").alias("fid"), "tk"), "samples")
     top = seen.where("times is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(frequent).toArrow()
     token = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
     late, place, counts = (spark.sparkContext.broadcast(x) for x in (token[order], np.argsort(np.argsort(-top.column("times").to_numpy()[order], kind="stable")), top.column("times").to_numpy()[order]))
     ws.release()
 
-    dealt = pick(docs, "text").mapInArrow(_postings(late, place, counts, percent), "token long, salt int, fid long, meta long").repartition("token", "salt")
-    posts = ws.save(dealt.mapInArrow(_chain, "token long, hot boolean, fid long, meta long, next long"), "postings")
+    dealt = texts.mapInArrow(lean(_postings(late, place, counts, percent)), "token long, salt int, fid long, meta long").repartition("token", "salt")
+    posts = dealt.mapInArrow(lean(_chain), "token long, hot boolean, fid long, meta long, next long")
+    posts = ws.save(posts.withColumn("key", F.min("token").over(Window.partitionBy("fid"))), "postings")
+    del dealt
     ws.release()
 
-    # Groups: the smallest shared token, in parts of about GROUP.
-    of = posts.groupBy("fid").agg(F.min("token").alias("key"))
-    parts = of.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    group = ws.save(of.join(parts, "key").select("fid", F.xxhash64("key", F.pmod(F.xxhash64("fid"), "parts")).alias("gid")), "groups")
-    cold = posts.where(~F.col("hot")).select("token", "fid", "meta").join(group, "fid")
-    matrix = _matrix(cold, "token", "gid").withColumnRenamed("gid", "g")
-    asked = cold.join(matrix, "token").where((F.col("gid") <= F.col("g")) & _allowed(percent)).select(F.col("g").alias("gid"), "fid")
+    # Groups: the smallest shared token, in parts of about GROUP where more documents have it.
+    of = posts.where("token = key").select("fid", "key").distinct()
+    many = ws.save(of.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("key", F.ceil(F.col("k") / GROUP).alias("parts")), "parts")
+    gid = F.xxhash64("key", F.pmod(F.xxhash64("fid"), F.coalesce("parts", F.lit(1)))).alias("gid")
+    group = ws.save(of.join(many, "key", "left").select("fid", gid), "groups")
+    cold = posts.where(~F.col("hot")).select("token", "fid", "meta", "key").join(many, "key", "left").select("token", gid, "fid", "meta")
+    asked = cold.repartition("token").sortWithinPartitions("token").mapInArrow(lean(_proposed(percent)), "gid long, fid long")
     chain = posts.where("hot and next is not null").select("fid", "next").join(group.withColumnRenamed("fid", "next"), "next").select("gid", "fid")
     asked = ws.save(asked.union(chain).distinct(), "asked")
     ws.release()
-    edges = links(docs, group, asked, percent, ws, "edges")
+    edges = links(texts, samples, group, asked, percent, ws, "edges")
+    ws.drop("groups", "asked", "parts")
     found = components(edges, ws, "cc")
+    ws.drop("edges")
 
     if not posts.where("hot").isEmpty():
-        edges = _rest(docs, posts.where("hot"), found, percent, ws)
+        edges = _rest(texts, samples, posts.where("hot"), found, percent, ws)
         found = components(edges, ws, "cd")
-    ws.drop("postings", "groups", "asked")
-    return profile.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
+        ws.drop("hot_edges")
+    ws.drop("postings", "samples")
+    root = ws.save(profile.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    ws.drop("profile")
+    return root, ws
 
 
 def _size():
     return F.shiftright("meta", 32)
 
 
-def _place():
-    return F.col("meta").bitwiseAND(F.lit(2**31 - 1))
-
-
-def _matrix(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows of the token-group matrix, with the range of sizes and the first place of the token."""
-    return rows.groupBy(*by).agg(F.min(_size()).alias("n_min"), F.max(_size()).alias("n_max"), F.min(_place()).alias("pos_min"))
-
-
-def _allowed(percent: int):
-    """Sizes and positions of a query and a matrix row allow a link at their first common token."""
-    n, lo, hi = _size(), F.col("n_min"), F.col("n_max")
-    least = F.greatest(lo, F.ceil(n * percent / 100))  # the smallest member that may link asks least
-    return (100 * F.least(n, hi) >= percent * F.greatest(n, lo)) & (F.least(n - _place(), hi - F.col("pos_min")) >= F.ceil(percent * (n + least) / (100 + percent)))
-
-
-def _rest(docs, posts, found, percent, ws):
+def _rest(texts, samples, posts, found, percent, ws):
     """Links under hot tokens between documents that are not yet in one component, and those found before.
 
     A row's *reach* is the largest partner its place allows at a first common
@@ -516,6 +568,6 @@ def _rest(docs, posts, found, percent, ws):
     matrix = rows.join(pairs.select("token", F.col("other").alias("root"), F.col("m").alias("n")).distinct(), ["token", "root", "n"], "left_semi").join(group, "fid").groupBy("token", F.col("root").alias("other"), F.col("n").alias("m"), "gid").agg(F.max("reach").alias("allows"))
     ask = rows.join(pairs, ["token", "root", "n"]).where("m <= reach").select("token", "other", "m", "n", "fid")
     asked = ask.join(matrix, ["token", "other", "m"]).where("n <= allows").select("gid", "fid").distinct()
-    more = links(docs, group, ws.save(asked, "hot_asked"), percent, ws, "hot_edges")
+    more = links(texts, samples, group, ws.save(asked, "hot_asked"), percent, ws, "hot_edges")
     ws.drop("hot", "hot_kinds", "hot_pairs", "hot_groups", "hot_asked")
     return more.union(found.select("u", F.col("root").alias("v")))
