@@ -94,6 +94,49 @@ def test_compiled_and_batch_routing_agree(spark, monkeypatch):
     assert sorted(map(str, routing.route(f.inputs, f.node_table).collect())) == a
 
 
+def test_nan_and_null_go_right_in_every_path(spark, monkeypatch):
+    from thicket.operators import trainer
+
+    f = literal.forest(spark, S1)
+    nan = float("nan")
+    width = len(f.inputs.first().x)
+    odd = [(1, [nan] * width), (2, [None] * width), (3, [nan, *[1.0] * (width - 1)]), (4, [1.0, None, *[2.0] * (width - 2)]), (5, [float("inf")] * width), (6, [float("-inf")] * width), (7, None)]
+    df = spark.createDataFrame(odd, "sample_id long, x array<double>").union(f.inputs.select(F.col("sample_id") + 1000, "x"))
+    trees, splits = routing.gather(f.node_table)
+    paths = []
+    for compiled in (256, 0):
+        monkeypatch.setattr(routing, "COMPILED", compiled)
+        paths.append({r.sample_id: tuple(r.leaves) for r in routing.route(df, f.node_table).collect()})
+    assert paths[0] == paths[1] and len(paths[0]) == len(odd) + f.inputs.count()
+    rightmost = {t: max(n for n in (s.node_id for s in splits if s.tree_id == t) if (n + 1) & n == 0) * 2 + 1 for t in trees if any(s.tree_id == t for s in splits)}
+    assert all(paths[0][i][k] == rightmost.get(t, 1) for i in (1, 2, 7) for k, t in enumerate(trees))
+    # The trainer counts the same sides: 3 right (NaN, null, above), 2 left.
+    at = spark.createDataFrame([(0, 1, [v]) for v in (nan, None, 9.0, 1.0, 2.0)], "tree_id int, node_id long, x array<double>")
+    found = spark.createDataFrame([(0, 1, 0, [0], [0.0], [1.0], 5.0, 0.0)], trainer.CANDIDATE)
+    assert len(trainer._accept(at, found, 1)) == 1 and trainer._accept(at, found, 2) == []
+
+
+def test_methods_of_communities_are_chosen_by_name(spark, monkeypatch):
+    from thicket.operators import community
+
+    groups = [range(0, 8), range(8, 16), range(16, 24)]
+    edges = [(a, b) for g in groups for a in g for b in g if a < b] + [(0, 8), (8, 16)]
+    e, ids = spark.createDataFrame(edges, "src long, dst long"), spark.range(24)
+
+    def found(method):
+        of = {}
+        for r in community.communities(e, ids, method=method).collect():
+            of.setdefault(r.label, set()).add(r.id)
+        return sorted(map(sorted, of.values()))
+
+    assert found("louvain") == found("label_propagation") == [list(g) for g in groups]
+    monkeypatch.setattr(community, "GATHERED", 10)
+    with pytest.raises(ValueError, match="label_propagation"):
+        found("louvain")
+    with pytest.raises(ValueError, match="no such method"):
+        found("other")
+
+
 def test_text_sources(spark, tmp_path):
     p = tmp_path / "m.txt"
     p.write_text("10 5 -1 0\n\n -2\t10 -3  20 \n")

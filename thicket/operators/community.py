@@ -1,8 +1,9 @@
 """Communities of a nearest-neighbour graph.
 
-Nodes of a forest are few, so their edge list is gathered (its size is checked)
-and modularity with a resolution is optimised by local moves and aggregation.
-Larger graphs use label propagation as DataFrame rounds.
+Two methods, chosen by name, never by size: ``louvain`` gathers the edge list and
+optimises modularity with a resolution by local moves and aggregation, and
+refuses more than ``GATHERED`` edges; ``label_propagation`` runs as DataFrame
+rounds on graphs of any size, knows no resolution, and finds other groups.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 GATHERED = 5_000_000
 
 
@@ -80,10 +83,15 @@ def louvain(src: np.ndarray, dst: np.ndarray, n: int, resolution: float = 1.0, s
     return place[inv]
 
 
-def communities(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+def communities(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, seed: int = 0, method: str = "louvain") -> DataFrame:
     """edges (src, dst), ids (id) -> (id, label)."""
-    if edges.count() > GATHERED:
+    if method == "label_propagation":
         return label_propagation(edges, ids)
+    if method != "louvain":
+        raise ValueError(f"no such method: {method!r}")
+    n = edges.count()
+    if n > GATHERED:
+        raise ValueError(f"the graph has {n} edges; louvain takes {GATHERED}: choose method='label_propagation' for larger ones")
     e, i = edges.select("src", "dst").toArrow(), np.sort(ids.select("id").toArrow().column(0).to_numpy())
     src, dst = (np.searchsorted(i, e.column(c).to_numpy()) for c in ("src", "dst"))
     label = louvain(src, dst, len(i), resolution, seed)
@@ -92,13 +100,25 @@ def communities(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, seed:
     return edges.sparkSession.createDataFrame(pd.DataFrame({"id": i, "label": label.astype("int32")}), "id long, label int")
 
 
-def label_propagation(edges: DataFrame, ids: DataFrame, rounds: int = 10) -> DataFrame:
-    """Each node takes its neighbours' most frequent label (the smallest of equals), for a number of rounds."""
+def label_propagation(edges: DataFrame, ids: DataFrame, rounds: int = 100) -> DataFrame:
+    """Each node takes its neighbours' most frequent label (the smallest of equals) until no label changes, or for ``rounds``.
+
+    Labels of two sides can swap for ever; from the second round on a node that
+    would return to its label of two rounds before keeps the smaller of both.
+    """
+    spark = edges.sparkSession
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    now = ids.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        votes = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("k"))
-        best = votes.groupBy("src").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("label")).withColumnRenamed("src", "id")
-        now = now.join(best.withColumnRenamed("label", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")).checkpoint()
-    dense = F.dense_rank().over(Window.orderBy("label")) - 1
-    return now.withColumn("label", dense.cast("int"))
+    now = ids.select("id", F.col("id").alias("label"), F.lit(None).cast("long").alias("before"))
+    for k in range(rounds):
+        votes = both.join(now.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("k"))
+        best = votes.groupBy("src").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("new")).withColumnRenamed("src", "id")
+        new = F.coalesce("new", "label")
+        new = F.when(new.eqNullSafe(F.col("before")), F.least(new, "label")).otherwise(new)
+        path = scratch(spark, f"labels{k}")
+        now.join(best, "id", "left").select("id", new.alias("label"), F.col("label").alias("before")).write.mode("overwrite").parquet(path)
+        now = spark.read.parquet(path)
+        if now.where("label != before").isEmpty():
+            break
+    # Communities are numbered, not nodes: the window sees one row of each.
+    number = now.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("number"))
+    return now.join(number, "label").select("id", F.col("number").alias("label"))

@@ -4,6 +4,10 @@ Nodes have heap numbers: the root is 1, the children of k are 2k (score at most
 the split) and 2k+1 (score above).  Parents, sisters, levels and ancestors are
 arithmetic.  A split is (features, means, scores, split); its score is
 ``sum((x[f] - mean) * weight)``.
+
+A sample goes left only if its score is at most the split.  A score that is NaN
+or null, from a NaN or null value or a null row, is not, so it goes right:
+compiled expressions, Arrow batches and the trainer's counts agree on that.
 """
 
 from __future__ import annotations
@@ -57,7 +61,12 @@ def reduction_score(x: str, reduction: str) -> Column:
 
 def passes(score_: Column, split: Column, orientation: Column) -> Column:
     """A filter: above the split if the orientation is true, at most the split if not."""
-    return F.when(orientation, score_ > split).otherwise(score_ <= split)
+    return at_most(score_, split) != orientation
+
+
+def at_most(score_: Column, split: Column | float) -> Column:
+    """The one test of a split: false for NaN and null."""
+    return F.coalesce(score_ <= split, F.lit(False))
 
 
 def leaf_of(x: Column, splits: list[Split]) -> Column:
@@ -66,11 +75,26 @@ def leaf_of(x: Column, splits: list[Split]) -> Column:
 
     def at(node: int) -> Column:
         s = by.get(node)
-        return F.lit(node).cast("long") if s is None else F.when(score(x, s) <= s.split, at(2 * node)).otherwise(at(2 * node + 1))
+        return F.lit(node).cast("long") if s is None else F.when(at_most(score(x, s), s.split), at(2 * node)).otherwise(at(2 * node + 1))
 
     return at(1)
 
 
+def _rows(x) -> np.ndarray:
+    """A matrix of a list column; null values and null rows are NaN."""
+    known = x.is_valid().to_numpy(zero_copy_only=False)
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+    width = len(flat) // int(known.sum()) if known.any() else 0
+    out = np.full((len(x), max(1, width)), np.nan)
+    if width:
+        out[known] = flat.reshape(-1, width)
+    return out
+
+
+def _feature(m: np.ndarray, here: np.ndarray, f: int) -> np.ndarray:
+    return m[here, f] if f < m.shape[1] else np.full(len(here), np.nan)
+
+
 def _route_arrow(trees: list[int], splits: list[Split]):
     import pyarrow as pa
 
@@ -82,15 +106,15 @@ def _route_arrow(trees: list[int], splits: list[Split]):
         for b in batches:
             x = b.column(b.schema.get_field_index("x"))
             n = len(x)
-            m = np.asarray(x.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
+            m = _rows(x)
             out = np.ones((n, len(trees)), np.int64)
             for k, t in enumerate(trees):
                 at = out[:, k]
                 for s in per[t]:
                     here = np.flatnonzero(at == s.node_id)
                     if len(here):
-                        value = sum((m[here, f] - mean) * w for f, mean, w in zip(s.features, s.means, s.scores))
-                        at[here] = 2 * s.node_id + (value > s.split)
+                        value = sum((_feature(m, here, f) - mean) * w for f, mean, w in zip(s.features, s.means, s.scores))
+                        at[here] = 2 * s.node_id + ~(value <= s.split)
             leaves = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(trees)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), x, leaves], names=["sample_id", "x", "leaves"])
 

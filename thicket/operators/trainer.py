@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dispersion import Dispersion
 from . import nipals, sampling, scan
-from .routing import Split, _route_arrow, leaf_of, COMPILED, reduction_score
+from .routing import COMPILED, Split, _route_arrow, at_most, leaf_of, reduction_score
 
 NODE_SCHEMA = "tree_id int, node_id long, level int, is_leaf boolean, features array<int>, means array<double>, scores array<double>, split double"
 
@@ -134,7 +134,7 @@ def _accept(at: DataFrame, candidates: DataFrame, least: int, widths=(4, 1 << 30
     for width in widths:
         some = open_.where((F.col("place") >= low) & (F.col("place") < low + width))
         j = at.join(some.withColumn("r", F.struct("features", "means", "scores")), ["tree_id", "node_id"])
-        right = (reduction_score("x", "r") > F.col("split")).cast("long")
+        right = (~at_most(reduction_score("x", "r"), F.col("split"))).cast("long")
         count = j.groupBy("tree_id", "node_id", "place").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("all"))
         ok = count.where((F.col("right") > least) & (F.col("all") - F.col("right") > least)).groupBy("tree_id", "node_id").agg(F.min("place").alias("place"))
         won = candidates.join(ok, ["tree_id", "node_id", "place"]).collect()  # one row per split of the model

@@ -472,10 +472,12 @@ def _(spark, d):
     return j.groupBy(*KEY, "feature_id").agg(r(F.avg("value")).alias("mean"))
 
 
-@query("jon_07_bag", "select t tree_id, node node_id, count(*) n from mem join (select p_partkey sid from part where p_partkey <= 50 union all select p_partkey from part where p_partkey <= 20) using (sid) group by all")
+@query("jon_07_bag", "select t tree_id, node node_id, count(*) n from mem join (select (p_partkey * 7919 + 13 * p_partkey * p_partkey) % (select count(*) from part) + 1 sid from part) using (sid) group by all")
 def _(spark, d):
     f = L(spark, d)
-    bag = f.samples.where("sample_id <= 50").union(f.samples.where("sample_id <= 20"))
+    # As many draws as samples, with replacement, from all of them: keys run from 1.
+    n = f.samples.count()
+    bag = f.samples.select(F.pmod(F.expr("sample_id * 7919 + 13 * sample_id * sample_id"), F.lit(n)).alias("k")).select((F.col("k") + 1).alias("sample_id"))
     return navigate.populations(f.member.join(bag, "sample_id")).withColumnRenamed("pop", "n")
 
 
