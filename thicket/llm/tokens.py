@@ -27,11 +27,11 @@ from .store import KEPT, lean, prepare, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes, with Python's own, of one generation of a worker's table; and of the longest piece that it keeps.
-TABLE_BYTES, LONGEST = 16 << 20, 256
+TABLE_BYTES, LONGEST = 40 << 20, 256
 #: Bytes of a dictionary's place for an entry, at most.
 PLACE_BYTES = 110
 #: Bytes of text handled at a time.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 OVER = 512
 
 #: White space as the tokenizer's pattern has it: Python's, without the four separators U+001C to U+001F.
