@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from thicket.llm import url_filter as U
-from thicket.llm.queries import op3_url_filter
+from thicket.llm.quality_rules import QualityModel
+from thicket.llm.queries import labelled_urls, op3_url_filter
 
 SCHEMA = "page_id long, url string, bad boolean"
 
@@ -94,14 +95,32 @@ def test_against_brute_force(spark):
     assert sum(r[4] == "block" and r[3] is None for r in want) > 100
 
 
+def test_text_and_label_of_a_page(spark):
+    html = "<html><head><title>no</title></head><nav><a>menu</a></nav><!-- <p>x</p> --><p>One <b>two</b></p><div>three<br/>four</div><script>var t='</p>';</script>"
+    out = spark.createDataFrame([(1, html), (2, None), (3, "")], "i int, html string").select("i", U.page_text(F.col("html")).alias("t")).collect()
+    got = {r.i: r.t and [" ".join(x.split()) for x in r.t.split("\n") if x.strip()] for r in out}
+    assert got == {1: ["One two", "three", "four"], 2: None, 3: ""}
+    good = " ".join(f"plain{i} words{i} follow" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{good} {i}") for i in range(30)] + [(99, "zq### " * 300)], "doc_id long, text string")
+    model = QualityModel(docs, spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int"))
+    rows = spark.createDataFrame([(1, good, "u"), (2, "two words", "u"), (3, None, "u"), (4, "zq### " * 40, None)], "page_id long, text string, url string")
+    assert {r.page_id: r.bad for r in model.labelled(rows, "text").collect()} == {1: False, 2: True, 3: None, 4: True}
+
+
+def test_other_columns_are_ignored(spark):
+    rows = [(i, f"http://h.org/a/{i}", i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame([(*r, "x", 1, 2.0, None) for r in rows], SCHEMA + ", host string, n int, verdict double, template string")
+    assert sorted((tuple(r) for r in U.filter_urls(df).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert U.filter_urls(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
 def test_query(spark):
     d = "/root/testdata/sf0.01"
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    rows = [tuple(r) for r in pages.select("page_id", "url", U.weak_label(F.col("html"))).collect()]
+    rows = [tuple(r) for r in labelled_urls(spark, d).collect()]
+    assert len(rows) == spark.read.parquet(f"{d}/pages.parquet").count() and {r[2] for r in rows} == {True, False}
     assert sorted((tuple(r) for r in op3_url_filter(spark, d).collect()), key=str) == brute(rows)
 
 

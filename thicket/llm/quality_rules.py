@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .store import lean, prepare, sub_batches
@@ -196,6 +197,20 @@ class QualityModel:
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return plain.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double, base_failed boolean, kept boolean")
 
+    def labelled(self, rows: DataFrame, text: str) -> DataFrame:
+        """rows without the text column and with ``bad``: whether base rules or score reject its text; null for a null text."""
+        weights, threshold = self.weights, self.threshold
+        at = rows.columns.index(text)
+        schema = T.StructType([f for f in rows.schema.fields if f.name != text] + [T.StructField("bad", T.BooleanType())])
+
+        def run(batches):
+            for b in sub_batches(batches):
+                own = b.column(at)
+                bad = base_failed(base_counts(own)) | (scores(own, weights.value) < threshold)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), pa.array(bad, mask=~own.is_valid().to_numpy(zero_copy_only=False))], names=schema.names)
+
+        return rows.mapInArrow(lean(run), schema)
+
     def kept(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are kept, with all their columns."""
         weights, threshold = self.weights, self.threshold

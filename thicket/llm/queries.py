@@ -10,10 +10,11 @@ from .chat_quotes import link_quotes
 from .jaccard_join import jaccard_classes
 from .mixing import OWN, mix
 from .packing import pack_documents
-from .quality_rules import judge
+from .quality_rules import QualityModel, judge
+from .store import Workspace
 from .substring_dedup import dedup_digest
 from .tokens import token_counts
-from .url_filter import filter_urls, weak_label
+from .url_filter import filter_urls, page_text
 from .warc import archive_pages
 
 
@@ -29,8 +30,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, bad): pages whose own text the quality rules reject are bad."""
+    model = QualityModel(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), page_text(F.col("html").cast("string")).alias("text"))
+    return Workspace(spark, "labels").save(model.labelled(pages, "text"), "urls")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", weak_label(F.col("html")).alias("bad")))
+    return filter_urls(labelled_urls(spark, sf_dir))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

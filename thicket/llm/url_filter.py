@@ -21,6 +21,11 @@ rule are judged by templates learned from labelled urls:
 Counts cover all rows and are summed before every shuffle; a hot host is a few
 shapes, not a group of rows.  Only rejected shapes are joined back to the urls.
 
+The tables hold no labels of urls, so the query labels each page by its own text:
+bad where the quality rules, fitted on the labelled documents, would reject it.
+Such a label speaks of the page, and of its host or path only as far as they go
+together; a template is rejected on the labels of all its pages, never on one.
+
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule and verdict allow.  Paths deeper than ``DEPTH`` segments keep the rest as
 one segment.  Unlabelled templates take the base share.  Repeated rows count as
@@ -134,6 +139,12 @@ def filter_urls(urls: DataFrame, rules=RULES) -> DataFrame:
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
-def weak_label(html: Column) -> Column:
-    """Bad when the page's text is littered with tripled symbols or shouting; null for a null page."""
-    return F.when(html.isNotNull(), (F.regexp_count(html, F.lit(r"([#*$%&|])\1\1")) >= 5) | (F.regexp_count(html, F.lit(r"[A-Z.,]!!")) >= 10) | (F.regexp_count(html, F.lit(r" \| ")) >= 15))
+#: Elements whose content is no text of the page, and those that end a line.
+SILENT, LINE = "script|style|nav|head|noscript|template", "p|div|li|ul|ol|tr|table|section|article|header|footer|blockquote|h[1-6]"
+
+
+def page_text(html: Column) -> Column:
+    """The running text of a page: without silent elements, comments and tags, lines where blocks end; null for a null page."""
+    spoken = F.regexp_replace(html, rf"(?is)<({SILENT})\b.*?</\1\s*>|<!--.*?-->", " ")
+    lines = F.regexp_replace(spoken, rf"(?i)</({LINE})\s*>|<br\b[^>]*>", "\n")
+    return F.regexp_replace(lines, "<[^>]*>", " ")

@@ -135,7 +135,8 @@ def prefix_sums(h: np.ndarray, base: int = _BASE) -> tuple[np.ndarray, np.ndarra
 def window(sums: tuple[np.ndarray, np.ndarray], first: np.ndarray, width: int) -> np.ndarray:
     """Hash of the words first..first+width."""
     total, back = sums
-    return mix((total[first + width] - total[first]) * back[first] + _U(width) * _U(0xA0761D6478BD642F))
+    length = np.full(1, width, np.uint64) * _U(0xA0761D6478BD642F)  # arrays wrap around in silence, scalars warn
+    return mix((total[first + width] - total[first]) * back[first] + length)
 
 
 def row_of(word_offsets: np.ndarray) -> np.ndarray:
