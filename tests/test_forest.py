@@ -116,6 +116,21 @@ def test_nan_and_null_go_right_in_every_path(spark, monkeypatch):
     assert len(trainer._accept(at, found, 1)) == 1 and trainer._accept(at, found, 2) == []
 
 
+def test_names_and_resets(spark):
+    f = literal.forest(spark, S1)
+    f.interpret_splits(mode="additive_mean", k=3)
+    f.set_factor_name(1, "growth")
+    assert {r.factor_id: r.name for r in f.named_factors().collect()}[1] == "growth" and f.named_factors().where("factor_id = 0").first().name == "0"
+    f.cluster_samples_encoding(k=3)
+    f.set_cluster_name(0, "main")
+    assert {r.cluster_id: r.name for r in f.named_clusters().collect()}[0] == "main"
+    assert f.named_samples().where("sample_id = 5").first().name == "5"
+    f.reset_split_clusters()
+    f.reset_sample_clusters()
+    f.reset_leaf_clusters()
+    assert f.factor_nodes is None and f.tree is None and f.sample_labels is None and f.leaf_labels is None and not f.factor_names and not f.cluster_names
+
+
 def test_methods_of_communities_are_chosen_by_name(spark, monkeypatch):
     from thicket.operators import community
 

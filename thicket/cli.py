@@ -51,6 +51,7 @@ def parse(argv: list[str]) -> tuple[dict[str, str], dict[str, object]]:
 
 def main(argv: list[str]) -> None:
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .model import fit
     from .sources.text import read_header, read_matrix
@@ -63,4 +64,6 @@ def main(argv: list[str]) -> None:
     names = [r.name for r in read_header(spark, header).orderBy("feature_id").collect()] if header else None
     outputs = read_matrix(spark, files["output"]) if "output" in files else None
     forest = fit(spark, read_matrix(spark, files["input"]), outputs, header=names, **options)
+    if "samples" in files:
+        forest.set_sample_names(read_header(spark, files["samples"]).select(F.col("feature_id").cast("long").alias("sample_id"), "name"))
     forest.save(files.get("save", "./forest"))

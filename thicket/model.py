@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import community, compare, consensus, factors, knn, matrix, navigate, node_stats, predict, represent, routing, samples
@@ -48,6 +49,11 @@ class Forest:
         self.sample_labels: DataFrame | None = None
         self.leaf_labels: DataFrame | None = None
         self.tree: DataFrame | None = None
+        #: (sample_id, name), if samples are named.
+        self.sample_names: DataFrame | None = None
+        #: Names that were given to factors and sample clusters, by id.
+        self.factor_names: dict[int, str] = {}
+        self.cluster_names: dict[int, str] = {}
 
     # -- tables ------------------------------------------------------------------------------------------------------
 
@@ -93,6 +99,48 @@ class Forest:
         for k in ("stats", "values", "member", "routed", "long"):
             self.__dict__.pop(k, None)
 
+    # -- names and labels --------------------------------------------------------------------------------------------
+
+    def set_sample_names(self, names: DataFrame) -> None:
+        """names: (sample_id, name); samples without one are called by their id."""
+        self.sample_names = names.select("sample_id", "name")
+
+    def named_samples(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(sample_id, name) of all samples, or (tree_id, node_id, sample_id, name) of those in some nodes."""
+        own = self.samples if nodes is None else self.member.join(nodes.select(*KEY), KEY, "left_semi")
+        if self.sample_names is None:
+            return own.withColumn("name", F.col("sample_id").cast("string"))
+        return own.join(self.sample_names, "sample_id", "left").select(*own.columns, F.coalesce("name", F.col("sample_id").cast("string")).alias("name"))
+
+    def set_factor_name(self, factor_id: int, name: str) -> None:
+        self.factor_names[factor_id] = name
+
+    def set_cluster_name(self, cluster_id: int, name: str) -> None:
+        self.cluster_names[cluster_id] = name
+
+    def _named(self, ids: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
+        given = self.spark.createDataFrame(list(names.items()), f"{column} int, name string")
+        found = ids.select(F.col(column).cast("int").alias(column)).distinct()
+        return found.join(given, column, "left").select(column, F.coalesce("name", F.col(column).cast("string")).alias("name"))
+
+    def named_factors(self) -> DataFrame:
+        """(factor_id, name): the given names, else the ids."""
+        return self._named(self.factor_nodes, "factor_id", self.factor_names)
+
+    def named_clusters(self) -> DataFrame:
+        """(cluster_id, name) of sample clusters."""
+        return self._named(self.sample_labels, "cluster_id", self.cluster_names)
+
+    def reset_split_clusters(self) -> None:
+        """Factors, their tree and their names go."""
+        self.factor_nodes, self.tree, self.factor_names = None, None, {}
+
+    def reset_sample_clusters(self) -> None:
+        self.sample_labels, self.cluster_names = None, {}
+
+    def reset_leaf_clusters(self) -> None:
+        self.leaf_labels = None
+
     # -- navigation --------------------------------------------------------------------------------------------------
 
     def nodes(self, root: bool = True, depth: int | None = None) -> DataFrame:
@@ -141,7 +189,7 @@ class Forest:
         rep = represent.representation(mode, self.stats, self.node_table, self.member, self.factor_nodes)
         return represent.pca(represent.vectors(rep), pca) if pca else rep
 
-    def interpret_splits(self, mode: str = "partial", metric: str = "cosine", pca: int = 0, relatives: bool = True, resolution: float = 1.0, k: int = 10, depth: int | None = None, seed: int = 0) -> DataFrame:
+    def interpret_splits(self, mode: str = "partial", metric: str = "cosine", pca: int = 0, relatives: bool = True, resolution: float = 1.0, k: int = 10, depth: int | None = None, seed: int = 0, method: str = "louvain") -> DataFrame:
         """Clusters similar splits into factors (roots are factor 0) and spans them by a tree."""
         chosen = navigate.nodes(self.node_table, False, depth).select(*KEY)
         vec = represent.vectors(represent.representation(mode, self.stats, self.node_table, self.member))
@@ -154,7 +202,7 @@ class Forest:
         points = points.persist()
         n = points.count()
         near = knn.knn(points, max(1, min(k, n - 1)), metric)
-        labels = community.communities(near.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")), points.select("id"), resolution, seed)
+        labels = community.communities(near.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")), points.select("id"), resolution, seed, method)
         found = labels.select((F.col("label") + 1).cast("int").alias("factor_id"), F.shiftright("id", 32).cast("int").alias("tree_id"), F.col("id").bitwiseAND(F.lit((1 << 32) - 1)).alias("node_id"))
         roots = self.roots().select(F.lit(0).alias("factor_id"), *KEY)
         direct = found.union(roots)
@@ -200,22 +248,25 @@ class Forest:
 
     # -- sample clusters ---------------------------------------------------------------------------------------------
 
-    def cluster_samples_simple(self, k: int = 10, pca: int = 0, metric: str = "cosine", resolution: float = 1.0, seed: int = 0) -> DataFrame:
+    def cluster_samples_simple(self, k: int = 10, pca: int = 0, metric: str = "cosine", resolution: float = 1.0, seed: int = 0, method: str = "louvain") -> DataFrame:
         """Communities of the samples' nearest neighbours on the outputs."""
-        return self._cluster(self.outputs.select(F.col("sample_id").alias("id"), F.col("x").alias("v")), k, metric, resolution, seed)
+        return self._cluster(self.outputs.select(F.col("sample_id").alias("id"), F.col("x").alias("v")), k, metric, resolution, seed, method)
 
-    def cluster_samples_encoding(self, k: int = 10, metric: str = "cosine", resolution: float = 1.0, seed: int = 0) -> DataFrame:
+    def cluster_samples_encoding(self, k: int = 10, metric: str = "cosine", resolution: float = 1.0, seed: int = 0, method: str = "louvain") -> DataFrame:
         """The same on the samples' leaves as indicator vectors."""
-        leaf = self.leaves().select(*KEY).orderBy(*KEY).collect()
-        place = F.create_map(*[x for i, r in enumerate(leaf) for x in (F.lit(f"{r.tree_id}/{r.node_id}"), F.lit(i))])
-        at = self.member.join(self.leaves().select(*KEY), KEY, "left_semi").groupBy("sample_id").agg(F.collect_set(place[F.concat_ws("/", *KEY)]).alias("hot"))
-        v = F.transform(F.sequence(F.lit(0), F.lit(len(leaf) - 1)), lambda i: F.array_contains("hot", i).cast("double"))
-        return self._cluster(at.select(F.col("sample_id").alias("id"), v.alias("v")), k, metric, resolution, seed)
-
-    def _cluster(self, points, k, metric, resolution, seed):
+        place = F.row_number().over(Window.orderBy(*KEY)) - 1  # the model's leaves, not rows of data
+        leaf = self.leaves().select(*KEY, place.alias("place"))
+        width = leaf.count()
+        at = self.member.join(leaf, KEY).groupBy("sample_id").agg(F.array_sort(F.collect_set("place")).alias("hot"))
+        # One pass over the places a sample has: zeros up to the next one, a one, and zeros to the end.
+        ones = F.transform(F.col("hot"), lambda p, i: F.concat(F.array_repeat(F.lit(0.0), p - F.when(i > 0, F.get("hot", i - 1) + 1).otherwise(0)), F.array(F.lit(1.0))))
+        v = F.concat(F.flatten(ones), F.array_repeat(F.lit(0.0), F.lit(width) - F.element_at("hot", -1) - 1))
+        return self._cluster(at.select(F.col("sample_id").alias("id"), v.alias("v")), k, metric, resolution, seed, method)
+
+    def _cluster(self, points, k, metric, resolution, seed, method):
         points = points.persist()
         near = knn.knn(points, max(1, min(k, points.count() - 1)), metric)
-        found = community.communities(near.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")), points.select("id"), resolution, seed)
+        found = community.communities(near.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")), points.select("id"), resolution, seed, method)
         self.sample_labels = found.select(F.col("id").alias("sample_id"), F.col("label").alias("cluster_id"))
         points.unpersist()
         return self.sample_labels
@@ -255,16 +306,23 @@ class Forest:
         self.features.write.mode("overwrite").parquet(f"{path}/features")
         if self.factor_nodes is not None:
             self.factor_nodes.write.mode("overwrite").parquet(f"{path}/factor_nodes")
+        if self.sample_names is not None:
+            self.sample_names.write.mode("overwrite").parquet(f"{path}/sample_names")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Forest:
         read = lambda n: spark.read.parquet(f"{path}/{n}")
+
+        def optional(n):
+            try:
+                return read(n)
+            except AnalysisException:  # saved without such a table
+                return None
+
         names = [r.name for r in read("features").orderBy("feature_id").collect()]
-        try:
-            found = read("factor_nodes")
-        except Exception:  # noqa: BLE001  a forest without factors has no such table
-            found = None
-        return cls(read("nodes"), read("inputs"), read("outputs"), names, found)
+        out = cls(read("nodes"), read("inputs"), read("outputs"), names, optional("factor_nodes"))
+        out.sample_names = optional("sample_names")
+        return out
 
 
 class Prediction:
