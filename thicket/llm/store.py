@@ -33,7 +33,7 @@ def shared_root(spark: SparkSession) -> str:
     return (found or LOCAL_ROOT).rstrip("/")
 
 
-#: Tables that a worker keeps between tasks.  Stages that do not use them let go of them first.
+#: Tables and tokenizers that a worker keeps between tasks.  Stages that do not use them let go of them first.
 KEPT: list[dict] = []
 
 
@@ -66,9 +66,9 @@ def lean(run, keeps_tables: bool = False):
 
 
 #: Bytes of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: Bytes of text that a task works on at a time.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 
 
 def sub_batches(batches, most: int = PART_BYTES):
