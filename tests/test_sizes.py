@@ -1,6 +1,11 @@
 """Cases of a review: queries on larger tables, and arguments that were left out."""
 
+import pytest
+
 from thicket import catalog
+from thicket.functions import ml
+from thicket.operators import factors
+from thicket.plans import literal
 
 D = "/root/testdata/sf0.001"
 
@@ -10,3 +15,31 @@ def test_draws_are_made_from_the_suppliers_of_the_given_tables(spark):
     rows = catalog.queries()["trn_04_draws"](spark, D).collect()
     assert [r.draw_no for r in sorted(rows)] == list(range(40))
     assert all(1 <= r.sample_id <= n for r in rows)
+
+
+def sends_rows(df):
+    """Whether exploded rows of samples are gathered in the driver and sent to every task."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            for y in lines[i + 1 :]:
+                if depth(y) <= depth(x) or "InMemoryRelation" in y or "Aggregate" in y:  # beyond are kept tables and sums
+                    break
+                if "Generate " in y:
+                    return True
+    return False
+
+
+ERRORS = "prd_07_node_feature_error prd_11_node_mse prd_13_doublets prd_14_factor_errors prd_15_factor_mse prd_16_jackknife cmp_02_residual_z cmp_03_fvu cmp_08_all_factors jon_08_full_outer"
+
+
+@pytest.mark.parametrize("name", [*ERRORS.split(), "nst_05_residual_doublet", "rep_14_sister_distance"])
+def test_rows_of_samples_are_not_sent(spark, name):
+    assert not sends_rows(catalog.queries()[name](spark, D))
+
+
+def test_regression_rows_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(ml, "coefficients", lambda vectors, estimator: vectors)
+    f = literal.forest(spark, D)
+    assert not sends_rows(factors.linear_regression(f.factor_matrix(), f.long, 2))
