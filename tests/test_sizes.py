@@ -1,9 +1,13 @@
 """Cases of a review: queries on larger tables, and arguments that were left out."""
 
+import time
+
+import numpy as np
 import pytest
 
 from thicket import catalog
 from thicket.functions import ml
+from thicket.functions.frames import Frames
 from thicket.operators import factors
 from thicket.plans import literal
 
@@ -43,3 +47,31 @@ def test_regression_rows_are_not_sent(spark, monkeypatch):
     monkeypatch.setattr(ml, "coefficients", lambda vectors, estimator: vectors)
     f = literal.forest(spark, D)
     assert not sends_rows(factors.linear_regression(f.factor_matrix(), f.long, 2))
+
+
+@pytest.mark.parametrize("after", [None, 0, 1])
+def test_frames_against_each_frame_alone(after):
+    rng = np.random.default_rng(3)
+    v, known = np.round(rng.uniform(-99, 9999, 90), 2), rng.random(90) > 0.1
+    v[20:40] = v[20]
+    f = Frames.prefixes(v, known) if after is None else Frames.suffixes(v, known, after)
+    med = f.median()
+    got = np.stack([f.n, med, f.mean(), f.var(), f.sse(), f.ssme(med), f.sme(), f.mad(med)])
+    for i in range(90):
+        x = (v[: i + 1])[known[: i + 1]] if after is None else (v[i + after :])[known[i + after :]]
+        if len(x):
+            m = np.median(x)
+            far = np.abs(x - m)
+            assert np.allclose(got[:, i], [len(x), m, x.mean(), x.var(), x.var() * len(x), (far * far).sum(), far.sum(), np.median(far) if len(x) > 1 else 0], rtol=1e-9, atol=1e-5)
+        else:
+            assert f.n[i] == 0
+
+
+@pytest.mark.parametrize("name", ["dsp_21_running", "dsp_25_covs", "trn_08_scan_ssme", "trn_08_scan_sme", "trn_08_scan_mad", "trn_09_candidates", "trn_11_first_candidate"])
+def test_frames_of_many_suppliers_end(spark, tmp_path, name):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v), int(n)) for k, (v, n) in enumerate(zip(rng.uniform(-999, 9999, 6000).round(2), rng.integers(0, 25, 6000)))]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.time()
+    assert catalog.queries()[name](spark, str(tmp_path)).count() > 0
+    assert time.time() - began < 20
