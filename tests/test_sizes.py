@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thicket import catalog
 from thicket.functions import ml
@@ -75,3 +76,17 @@ def test_frames_of_many_suppliers_end(spark, tmp_path, name):
     began = time.time()
     assert catalog.queries()[name](spark, str(tmp_path)).count() > 0
     assert time.time() - began < 20
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than were once used, half of them of another kind: both kinds are kept, by either join."""
+    from thicket.llm import quality_rules as Q
+
+    assert not hasattr(Q, "TRUSTED")
+    kinds = ("the river ran down to the sea and the hills were green in spring", "zwölf boxkämpfer jagen viktor quer über den großen sylter deich heute")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, kinds[0]).otherwise(kinds[1]).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    a, b = Q.QualityModel(docs, labels), Q.QualityModel(docs, labels, sent=10)
+    assert a.threshold == b.threshold
+    assert np.array_equal(a.weights.value, b.weights.value)
+    assert a.kept(docs).count() == b.kept(docs).count() == 400

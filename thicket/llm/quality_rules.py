@@ -9,9 +9,9 @@ seen, less a margin; a score equal to it is kept.  Half of the trusted documents
 the model, the other half sets the threshold.  Everything is deterministic.
 
 Corpus counts cover every byte of every document; tasks send one row for each
-bucket they met.  The trusted model is fitted on at most ``TRUSTED`` labelled
-documents (quality 1, not toxic), the smallest by hash of their id: the only
-bounded sample.  Weights are a broadcast array of ``BUCKETS`` numbers.
+bucket they met.  All labelled documents (quality 1, not toxic) fit the model or
+set the threshold.  Their ids are joined: sent whole up to ``SENT`` of them, merged
+beyond.  Weights are a broadcast array of ``BUCKETS`` numbers.
 
 Defined results: null and empty texts have no words and fail the base rules.
 Without trusted documents the score is 0 and the base rules decide.  Rows with
@@ -32,7 +32,8 @@ from .store import lean, prepare, sub_batches
 
 GRAM = 4
 BUCKETS = 1 << 18
-TRUSTED = 50_000
+#: Trusted ids that are sent to every task; more are joined by merging.
+SENT = 1_000_000
 PRIOR_GRAMS = 32
 QUANTILE = 0.001
 MARGIN = 0.02
@@ -68,12 +69,12 @@ def _per_text(raw, offsets, most=1 << 20):
         at = to
 
 
-def _count(trusted):
+def _count():
     def run(batches):
         corpus, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in sub_batches(batches):
             raw, offsets = W.buffers(b.column(1))
-            good = _among(b.column(0), trusted.value)
+            good = _fits(b.column(0)) & b.column(2).is_valid().to_numpy(zero_copy_only=False)
             for at, to, part, offs in _per_text(raw, offsets):
                 g = _grams(part)
                 own = np.ones(len(g), bool)  # n-grams that cross from one text to the next are none
@@ -95,14 +96,10 @@ def _sparse(g):
     return out
 
 
-def _among(column: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Rows whose id is one of the sorted ids."""
-    if not len(ids):
-        return np.zeros(len(column), bool)
-    x, ok = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
-    at = np.searchsorted(ids, x)
-    at[at == len(ids)] = 0
-    return (ids[at] == x) & ok
+def _fits(column: pa.Array) -> np.ndarray:
+    """Rows whose id is of the half that fits the model; the other half sets the threshold."""
+    ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (W.mix(ids.view(np.uint64)) & np.uint64(1)).astype(bool)
 
 
 def scores(texts: pa.Array, weights: np.ndarray | None) -> np.ndarray:
@@ -155,17 +152,16 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 class QualityModel:
     """Broadcast weights and the threshold that come from one pass over the corpus."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame | None, trusted: int = TRUSTED):
+    def __init__(self, docs: DataFrame, labels: DataFrame | None, sent: int = SENT):
         spark = docs.sparkSession
         prepare(spark)
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        ids = np.zeros(0, np.int64)
+        trusted, marked = None, plain.withColumn("trusted", F.lit(None).cast("boolean"))
         if labels is not None:
-            good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            ids = np.sort(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).toArrow().column(0).to_numpy())
-        half = (W.mix(ids.view(np.uint64)) & np.uint64(1)).astype(bool)
-        sample, held_out = spark.sparkContext.broadcast(ids[half]), spark.sparkContext.broadcast(ids[~half])
-        counts = plain.mapInArrow(lean(_count(sample)), "bucket int, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
+            trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+            trusted = F.broadcast(trusted) if trusted.count() <= sent else trusted.hint("merge")
+            marked = plain.join(trusted, "doc_id", "left")
+        counts = marked.mapInArrow(lean(_count()), "bucket int, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
         corpus, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         corpus[counts.column("bucket").to_numpy()] = counts.column("corpus").to_numpy()
         target[counts.column("bucket").to_numpy()] = counts.column("target").to_numpy()
@@ -177,10 +173,10 @@ class QualityModel:
 
             def own(batches):
                 for b in sub_batches(batches):
-                    ok = _among(b.column(0), held_out.value)
+                    ok = ~_fits(b.column(0))
                     yield pa.RecordBatch.from_arrays([pa.array(scores(b.column(1).filter(pa.array(ok)), weights.value))], names=["score"])
 
-            low = plain.mapInArrow(lean(own), "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+            low = plain.join(trusted, "doc_id").select("doc_id", "text").mapInArrow(lean(own), "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
             self.threshold = -np.inf if low is None else low - MARGIN
 
     def judged(self, docs: DataFrame) -> DataFrame:
